@@ -1,0 +1,22 @@
+"""Short own samples of ordinary words, from which the character-plausibility model is made."""
+
+WORDS = {
+    "fr": "gère gérer essayé gardé demandée migré augmenté posé cher chère là-bas déjà été être même après très accès où voilà français ça leçon garçon reçu naïve maïs noël île connaît août sûr coûte dû côté plutôt hôtel tâche âge château écran échoue équipe élevé préavis société siège caractère dès première mère père bientôt gênant prêt fenêtre œuvre cœur sœur à là çà états étions événement sécurité journaux complets fonctionnalité données libellé accentué décalés connectés pénible ressaisir élève problème système modèle règle près auprès succès procès intérêt forêt tête fête arrêter quête août goût brûler mûr évry âme pâte théâtre âgé bâtiment",
+    "es": "subió bajó actualización llegó qué bebé año años mañana español señor niño pequeño compañía montaña sueño aquí así allí también después además según todavía línea días país región información opción canción razón función corazón migración instalación facturación atención técnica rápida fácil útil último última número teléfono cómo qué más está será sería ojalá búsqueda público música página química lápiz árbol jamás detrás través él sé té mí sí dé época inglés francés interés café pingüino vergüenza lingüística exportación eñe tilde resolvéis podéis",
+    "pt": "é até só nós há dá será grátis próximo próxima relatório relatórios versão versões licenças exportação faturação atualização pé fé aí país saúde açúcar ônibus não são então mão pão irmão coração informação informações solução soluções razão função migração integração atenção posição exceções licença serviço começo preço cabeça você vocês português três mês também além ninguém alguém já lá está história memória próprio última último dúvida agora série código câmara ângela lâmpada avô avó à às fácil difícil possível razoável simultâneo êxito português línguas ficheiro linha órgão põe lições limões três lê vê",
+    "de": "oberfläche möglichkeit könnt löst wählen jährlich zurück gültig für über müssen können möchten würde früher grün natürlich übersichtlich überraschend prüfen prüfprotokoll rückwirkend rückständen büro mühsam einführung lösung schön höflich größeres größer straße fußball groß weiß heißt außerdem spaß süß gäbe wäre hätte später länger läuft ständig verträgt aufträge geräte ändern erklärte käme österreich öffnen übergabe übrigens ähnlich zürich köln münchen nächste mädchen häufig böse hören gehört schließen lässt daß muß",
+    "pl": "dużo jednocześnie które obsłuży mieć chcę idę mówić się że już też więc będzie być dość ktoś gość jakość wartość ilość przyszłość zespół wzrosła spadła obsługi obsługa dłużej długo używa każdego każdy później źle źródło udźwignie różne również może możliwe żeby żaden życie świeżych świat świetny święta środa ścieżka łatwo łódź łącznie działające urządzeń zaległości zgłoszenia przenosił przyzwyczaił wdrożyliśmy największy narzędzia ostatnią linią rozwiązujecie porządku wciąż gęślą jaźń okazało kończy koń dzień tydzień pięć dziewięć ćwiczenie móc pomóc krótkie góra który której uściślając gęś ręka dziękuję proszę",
+    "tr": "için değil şirket küçük çözüm çözüyorsunuz büyük gün göre görünüyor görüş güncelleme kısa kolay satırı satır yanıt yanıtı başı kişi kişiye taşıyan taşımak aracını araç aynı anda cihazı kaldırır mı mi kurulum beklediğimizden geç veriyor arttı fiyatı hâlâ kaybediyor dışa dış aktarma sırasında sıra karakterler bozulmasın müşteri kayıtlarını kayıt nasıl açıkçası açık ayrıca bizde şöyle şey şimdi çok pahalı yıl yılı ışık ılık iğne ağaç dağ doğru öğrenci soğuk sağlık kız kadın altı yazı kapı bağlantı başka içinden yere yerine türkçe ıslak değiştirildi şu şifre işleri iş üç dört bıraktı haklı akıllı çalışıyor yaptı aldı sınıf hızlı",
+    "ru": "в у к с а и о я кто куда нас вас нам вам спрашивать поэтому команды команда документация документы устарела старый соседней сосед пришлось прийти строку не на за из нет да нужен нужна месяца месяц инструмент простой ломается ломать разбираете разбирать задачи задача просроченные срок давно недавно конце конец дней несколько сколько нибудь заявки заявка потерь потери справки справка слову слово друг друга делать сделали большой большие маленький новый новая новые первый последний хотел хочу буду будет будут стал стала стали говорит сказал думаю понимаю видел знаю жизнь рука глаз голова дом дома город страна мир работаю офис клиент клиенты счёт платёж сумма деньги рублей быстро медленно удобно неудобно вместо против среди около возле внутри вокруг именно почти совсем опять снова вообще конечно возможно это что как все они мы вы он она оно был была было были быть есть для при про над под без или если когда тогда только уже еще ещё его её их наш наша ваш который которая после перед через между очень можно нужно надо сразу просто сама самый работает работать работа работу перешли переход около недель неделя назад целом всё хорошо короткий вопрос отчёт отчёта отчёты больше чем место занимает лицензия стоит евро слишком дорого устройств устройства выдержит ли цена выросла поддержка отвечает так же медленно выгрузка выгрузки времени времена время данные данных файл файла файлов таблица таблицы строка строки год года лет день дня человек люди сделать делает может могут знает спасибо пожалуйста ошибка ошибки обновление обновления версия пользователь пользователей настройки интеграция сервер система поиск честно говоря кстати уточнение дополнение небольшой компании решение подходит вполне теряет последнюю часовой пояс нашем случае проще сложно объём подъезд съёмка щука цифры экспорт эти этот эта юг яблоко чтобы почему где здесь там туда пробовали установка прошла быстро кто-нибудь переносил решаете хвосты по счетам",
+    "uk": "це що як всі їх він вона було бути є для при про над під без або якщо коли тільки вже ще його її наш ваш який після перед через між дуже можна треба сьогодні місто вулиця країна україна її їжа ґрунт ґанок об'єкт п'ять ніч день рік файлів таблиці помилка оновлення користувач",
+    "bg": "това какво как всички ние вие той тя бил била било бъде има няма за при над под без или ако когато само вече още неговия нейния нашия след преди през между много може трябва работи въпрос отговор грешка потребител",
+    "is": "það þetta þessi þú þeir þær þegar því þannig við með að ég hún hann maður veður góður dýr nýr sýna fýla lýsa ísland reykjavík þórðavík vík hólmur æðruhólmur æð bær læra fær stóð orð norður suður vestur öll börn höfn tími líka mínútu síða hús út úti kaupa þú búð skóli bók dóttir sjá fá má já ár sár láta ágúst ýmis kýr þýða íþrótt",
+    "ro": "și să că în este până după fără când cât câte mâine pâine română româna limbă bună ziua mulțumesc țară viață piață preț înainte între lângă știe știu așa ușor oraș aceștia băiat fată ș ț â î ă apă masă",
+    "cs": "že být je není který která které může můžete děkuji prosím dobrý nový nová nové každý člověk město děti řeka říci příliš žluťoučký kůň úpěl ďábelské ódy světlo květ síť síla čas český účet účty zpět větší další přístup tři čtyři pět šest příklad máme chyběl dům stůl",
+    "hu": "és hogy nem egy van volt lesz már még csak kérdés válasz hiba fájl felhasználó új régi jó nagyon köszönöm szép jövő múlt első második őszi hűtő fűtő tűz víz út híd élet idő erő nő férfi gyűjtő művész könyv",
+    "sv": "är och på för att får här där när år även också både måste åtta ålder äpple öppna över frågor svårt större först möte människa själv små två språk återvända kök smör höger vänster fråga låta båt gå stå",
+    "da": "er og på for at får også både måned år ål æble øl ø æ å før først større mødet spørgsmål svær lære nær være hvordan måske går står årsag øje høj mål både brød smørrebrød kø læse blå rød grøn tæt",
+    "it": "è più perché così già può però città università qualità libertà cioè caffè tè sì lì là giù né poiché finché ventitré lunedì martedì venerdì virtù gioventù verità età",
+    "nl": "één ideeën coördinatie reünie geïnteresseerd financiën zoëven vóór café hè né bèta",
+    "el": "και το την του της των να με για από στο στη είναι δεν που θα μας σας αυτό όπως ένα μία καλά πολύ σήμερα αύριο αρχείο χρήστης σφάλμα ερώτηση",
+}
