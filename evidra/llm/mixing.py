@@ -2,8 +2,8 @@
 
 Blocks go one after another to the source with the highest quotient share / (2 * blocks + 1), never beyond what the source
 can give with its repeats; the blocks of a source go to its shards in the same way, by their tokens. That gives whole
-quotas. Within a shard the documents stand in a seeded order: as many full copies as the quota holds, then each document
-that still fits into the rest, so nothing depends on file order.
+quotas. Within a shard the documents stand in a seeded order: as many full copies as the quota holds, then round by
+round each document that still fits into the rest, so nothing depends on file order.
 
 The default size of the mix is the largest at which every source that has documents can give its share; sources without any
 leave their share to the others, in proportion, and are reported with none. Defined cases: names of sources match without
@@ -49,16 +49,16 @@ def apportion(weights: dict, caps: dict, seats: int) -> dict:
 
 
 def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Times each document is used: the full copies of its shard, and once more if it still fits into the rest."""
+    """Times each document is used in a round: once if it still fits into the rest, with the full copies in the first."""
     shard, left = None, 0
     for b in batches:
         used = []
-        for source, number, tokens, copies, rest in zip(*(b.column(c).to_pylist() for c in ("source", "shard", "tokens", "copies", "rest"))):
+        for source, number, tokens, copies, rest, turn, most in zip(*(b.column(c).to_pylist() for c in ("source", "shard", "tokens", "copies", "rest", "round", "most"))):
             if (source, number) != shard:
                 shard, left = (source, number), rest
-            fits = tokens <= left
+            fits = tokens <= left and copies + turn <= most
             left -= tokens * fits
-            used.append(copies + fits)
+            used.append((copies if turn == 1 else 0) + fits)
         made = pa.array(used, pa.int32())
         batch = pa.RecordBatch.from_arrays([b.column("key"), b.column("source"), b.column("tokens"), made], ["key", "source", "tokens", "times_used"])
         yield batch.filter(pc.greater(made, 0))
@@ -87,13 +87,16 @@ def mix(documents: DataFrame, key: str, source: str, tokens: str, targets: list[
         caps = {k: -(-t * able[n][1] // block) for k, t in parts.items()}
         for k, b in apportion(parts, caps, blocks[n]).items():
             quota = min(b * block, parts[k] * able[n][1])
-            quotas.append((n, k, quota // parts[k], quota % parts[k]))
-    quota = spark.createDataFrame(quotas, "source string, shard long, copies long, rest long")
-    # The documents of a shard pass one task in seeded order; nothing of a shard is held, so shards may be of any size.
-    placed = sharded.join(F.broadcast(quota), ["source", "shard"]).select("key", "source", "shard", "tokens", "copies", "rest", F.xxhash64(F.lit(seed + 1), "key").alias("turn"))
-    ordered = placed.repartition("source", "shard").sortWithinPartitions("source", "shard", "turn", "key")
+            quotas.append((n, k, quota // parts[k], quota % parts[k], able[n][1]))
+    quota = spark.createDataFrame(quotas, "source string, shard long, copies long, rest long, most int")
+    # The documents of a shard pass one task in seeded order, once for each time they may still be repeated; nothing of a
+    # shard is held, so shards may be of any size.
+    rounds = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.col("most") - F.col("copies")).cast("int"))))
+    placed = sharded.join(F.broadcast(quota), ["source", "shard"]).select("key", "source", "shard", "tokens", "copies", "rest", "most", F.xxhash64(F.lit(seed + 1), "key").alias("turn"), rounds.alias("round"))
+    ordered = placed.repartition("source", "shard").sortWithinPartitions("source", "shard", "round", "turn", "key")
     kind = documents.schema[key].dataType.simpleString()
-    mixed = cut(map_arrow(ordered, _fill, f"key {kind}, source string, tokens long, times_used int").withColumnRenamed("key", key))
+    filled = map_arrow(ordered, _fill, f"key {kind}, source string, tokens long, times_used int")
+    mixed = cut(filled.groupBy(F.col("key").alias(key), "source", "tokens").agg(F.sum("times_used").cast("int").alias("times_used")))
     given = {r["source"]: r for r in mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("times_used")).alias("used"), F.max("times_used").alias("most")).collect()}  # a row per target
     total = sum(r["used"] for r in given.values())
     facts = [(n, s, r, *have.get(n, (0, 0)), blocks.get(n, 0) * block, *((given[n]["used"], given[n]["most"], given[n]["used"] / total) if n in given else (0, 0, 0.0))) for n, (s, r) in wanted.items()]
