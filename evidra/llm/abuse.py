@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from evidra.llm.labelled import sentences
 from evidra.session import map_arrow
 
-MOST_SENTENCES, LANDMARKS = 8000, 900
+MOST_SENTENCES, LANDMARKS, BLOCK = 8000, 1000, 200
 #: Four symbols within six places, and the factor for each place left out.
 SPAN, DECAY = 6, 0.6
 WINDOW, HOP = 80, 40
@@ -150,7 +150,6 @@ class Machine:
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
-        self.scaled = [(weights * w).astype(np.float32) for _, w in PATTERNS]
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """The score of each text: of its worst sentence or window."""
@@ -162,8 +161,11 @@ class Machine:
         if not len(s):
             return out
         gain = np.zeros(len(s), np.float32)
-        for (code, inside, _), table in zip(_codes(s, sentence), self.scaled):
-            gain[: len(code)] += np.where(inside, table[code], 0)
+        for code, inside, weight in _codes(s, sentence):
+            found = self.weights[code]
+            found *= inside
+            found *= np.float32(weight)
+            gain[: len(code)] += found
         starts = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
         ends = np.r_[starts[1:], len(s)]
         sizes = ends - starts
@@ -195,10 +197,10 @@ def _features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
             codes.append(code)
             values.append(np.full(len(code), w))
         if not codes:
-            out.append((np.empty(0, np.int64), np.empty(0)))
+            out.append((np.empty(0, np.int32), np.empty(0, np.float32)))
             continue
         unique, place = np.unique(np.concatenate(codes), return_inverse=True)
-        out.append((unique, np.bincount(place, np.concatenate(values)) / np.sqrt(max(len(s), 12))))
+        out.append((unique.astype(np.int32), (np.bincount(place, np.concatenate(values)) / np.sqrt(max(len(s), 12))).astype(np.float32)))
     return out
 
 
@@ -229,27 +231,40 @@ def _fit(data: list[tuple[str, int]], seed: int, ridge: float = 1.0) -> Machine:
     data = data[:MOST_SENTENCES]
     features = _features([t for t, _ in data])
     y = np.array([1.0 if label else -1.0 for _, label in data])
-    owner = np.repeat(np.arange(len(data)), [len(c) for c, _ in features])
-    codes, place = np.unique(np.concatenate([c for c, _ in features]), return_inverse=True)
-    # A subsequence counts the more the fewer of the labelled sentences have it.
-    rare = np.log(1 + len(data) / (1.0 + np.bincount(place))).astype(np.float32)
-    value = np.concatenate([v for _, v in features]).astype(np.float32) * rare[place]
-    # Landmarks: half of them from either class.
+    owner = np.repeat(np.arange(len(data), dtype=np.int32), [len(c) for c, _ in features])
+    value = np.concatenate([v for _, v in features])
+    codes, place, seen = np.unique(np.concatenate([c for c, _ in features]), return_inverse=True, return_counts=True)
+    del features
+    # Subsequences of a single sentence tell nothing of others; the rest count the more the fewer sentences have them.
+    shared = seen > 1
+    keep = shared[place]
+    owner, value, place = owner[keep], value[keep], (np.cumsum(shared, dtype=np.int32) - 1)[place[keep]]
+    codes, rare = codes[shared], np.log(1 + len(data) / (1.0 + seen[shared])).astype(np.float32)
+    value *= rare[place]
+    # Landmarks: half of them from either class. The kernel with them, and later their weights, are made block by block.
     chosen = np.concatenate([np.flatnonzero(y == sign)[: LANDMARKS // 2] for sign in (1, -1)])
-    column = np.full(len(data), -1)
-    column[chosen] = np.arange(len(chosen))
-    table = np.zeros((len(codes), len(chosen)), np.float32)
-    mine = column[owner] >= 0
-    table[place[mine], column[owner[mine]]] = value[mine]
     ends = np.cumsum(np.bincount(owner, minlength=len(data)))
+    starts = np.r_[0, ends[:-1]]
+
+    def block(first: int) -> np.ndarray:
+        """Subsequences by landmarks."""
+        table = np.zeros((len(codes), min(BLOCK, len(chosen) - first)), np.float32)
+        for k in range(table.shape[1]):
+            a, b = starts[chosen[first + k]], ends[chosen[first + k]]
+            table[place[a:b], k] = value[a:b]
+        return table
+
     kernel = np.zeros((len(data), len(chosen)))
-    for i, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends)):
-        kernel[i] = value[a:b] @ table[place[a:b]]
+    for first in range(0, len(chosen), BLOCK):
+        table = block(first)
+        for i, (a, b) in enumerate(zip(starts, ends)):
+            kernel[i, first : first + table.shape[1]] = value[a:b] @ table[place[a:b]]
     among = kernel[chosen]
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     good = values > 1e-6 * values[-1]
     whiten = vectors[:, good] / np.sqrt(values[good])
     z = np.c_[kernel @ whiten, np.ones(len(data))]
+    del kernel
     # Newton steps for ridge / 2 |w|^2 + sum of squared hinge losses; the constant is not penalised.
     w = np.zeros(z.shape[1])
     penalty = np.full(z.shape[1], ridge)
@@ -262,7 +277,10 @@ def _fit(data: list[tuple[str, int]], seed: int, ridge: float = 1.0) -> Machine:
             break
         w = new
     weights = np.zeros(1 << 20, np.float32)
-    weights[codes] = rare * (table @ (whiten @ w[:-1]))
+    share = (whiten @ w[:-1]).astype(np.float32)
+    for first in range(0, len(chosen), BLOCK):
+        table = block(first)
+        weights[codes] += rare * (table @ share[first : first + table.shape[1]])
     return Machine(weights, float(w[-1]) - MARGIN)
 
 
