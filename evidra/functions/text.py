@@ -52,7 +52,7 @@ def is_http_url(c: Column) -> Column:
     return F.coalesce(F.lower(F.try_parse_url(c, F.lit("PROTOCOL"))).isin("http", "https") & (F.coalesce(F.try_parse_url(c, F.lit("HOST")), F.lit("")) != ""), F.lit(False))
 
 
-def thread_url(c: Column) -> Column:
+def thread_url(c: Column, hosts: tuple[str, ...] = THREAD_HOSTS, base: str = "https://www.reddit.com") -> Column:
     """STRUCT<url, post_id, external_id, subreddit> of a discussion thread's URL in its canonical form, redirects unwrapped.
 
     Null for anything that is no thread URL of the allowed hosts.
@@ -61,11 +61,11 @@ def thread_url(c: Column) -> Column:
     wrapped = (host == REDIRECT_HOST) | host.endswith("." + REDIRECT_HOST)
     target = F.when(wrapped, F.try_url_decode(F.try_parse_url(c, F.lit("QUERY"), F.lit(REDIRECT_KEY)))).otherwise(c)
     path = F.regexp_replace(F.try_parse_url(target, F.lit("PATH")), r"(?i)\.json/?$", "")
-    known = F.lower(F.try_parse_url(target, F.lit("HOST"))).isin(*THREAD_HOSTS) & F.lower(F.try_parse_url(target, F.lit("PROTOCOL"))).isin("http", "https")
+    known = F.lower(F.try_parse_url(target, F.lit("HOST"))).isin(*hosts) & F.lower(F.try_parse_url(target, F.lit("PROTOCOL"))).isin("http", "https")
     subreddit = text_or_null(F.regexp_extract(path, THREAD_PATH, 1))
     post = F.lower(F.regexp_extract(path, THREAD_PATH, 2))
     slug = F.coalesce(text_or_null(F.regexp_extract(path, THREAD_PATH, 3)), F.lit("_"))
-    url = F.concat(F.lit("https://www.reddit.com"), F.coalesce(F.concat(F.lit("/r/"), subreddit), F.lit("")), F.lit("/comments/"), post, F.lit("/"), slug, F.lit("/"))
+    url = F.concat(F.lit(base), F.coalesce(F.concat(F.lit("/r/"), subreddit), F.lit("")), F.lit("/comments/"), post, F.lit("/"), slug, F.lit("/"))
     return F.when(known & path.rlike(THREAD_PATH), F.struct(url.alias("url"), post.alias("post_id"), F.concat(F.lit("t3_"), post).alias("external_id"), subreddit.alias("subreddit")))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from evidra.plans import problems
+from evidra.plans import evidence, problems, streams
 
-_MODULES = (problems,)
+_MODULES = (problems, evidence, streams)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
