@@ -1,14 +1,16 @@
 """Identities: name-based UUIDs, digests, canonical JSON, work-item ids and page cursors."""
 
-from __future__ import annotations
-
 import base64
+import hashlib
 import json
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from evidra.session import ship
 
 #: The namespaces of name-based ids.
 DISCUSSION_NS = "a6364574-5df2-46ae-a1bd-1a135f12b4c5"
@@ -69,18 +71,25 @@ def json_digest(text: Column) -> Column:
     return F.sha2(canonical_json(text), 256)
 
 
-@F.pandas_udf("string")
-def ascii_json_digest(text: pd.Series) -> pd.Series:
-    """SHA-256 of canonical JSON in ASCII: sorted keys, no blanks, other characters escaped. Null for what is no JSON."""
-    import hashlib
+def _ascii_digest(text):
+    """SHA-256 of canonical JSON in ASCII; nothing for what is no JSON."""
+    try:
+        return hashlib.sha256(json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=True).encode()).hexdigest()
+    except (TypeError, ValueError):
+        return None
+
+
+def ascii_json_digest(text: Column) -> Column:
+    """SHA-256 of canonical JSON in ASCII: sorted keys, no blanks, other characters escaped. Null for what is no JSON.
+
+    No built-in function escapes so, hence an Arrow-batched function.
+    """
+    ship(SparkSession.active())
 
-    def one(t):
-        try:
-            return hashlib.sha256(json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=True).encode()).hexdigest()
-        except (TypeError, ValueError):
-            return None
+    def digests(texts: pd.Series) -> pd.Series:
+        return texts.map(_ascii_digest)
 
-    return text.map(one)
+    return F.pandas_udf(digests, T.StringType())(text)
 
 
 def encode_cursor(namespace: Column, position: Column) -> Column:

@@ -97,7 +97,7 @@ def error_class(message: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """The lines of a text, trimmed, without blank ones."""
-    return F.filter(F.transform(F.split(c, "\r?\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def artifact_name_ok(c: Column, most_bytes: int = 255) -> Column:

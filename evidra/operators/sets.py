@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def tidy_list(c: Column) -> Column:
     """Trimmed, blanks dropped, repeats dropped, the first of each kept in its place."""
-    return F.array_distinct(F.filter(F.transform(c, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def same_members(a: Column, b: Column) -> Column:
