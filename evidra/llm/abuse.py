@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidra.llm import portions
 from evidra.llm.labelled import sentences
 from evidra.session import map_arrow
 
@@ -287,7 +288,8 @@ def _fit(data: list[tuple[str, int]], seed: int, ridge: float = 1.0) -> Machine:
 def _scoring(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = shared.value.scores(b.column("text").to_pylist())
+            texts = b.column("text").to_pylist()
+            scores = np.concatenate([np.empty(0), *[shared.value.scores(texts[i:j]) for i, j in portions(texts)]])
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(np.round(scores, 6))], ["key", "score"])
 
     return run

@@ -305,7 +305,9 @@ def surrogate_entity(kind: str, entity: str, key: bytes, attempt: int = 0) -> st
         return f"{1 + d.below(199)} {d.word(2)}"
     # Digits for digits, letters for letters; a leading plus or zero stays, as it says how to read the rest.
     keep = re.match(r"(?:\+\d|00\d|0)?", entity).end() if kind == PHONE else 0
-    return entity[:keep] + "".join(str(d.below(10)) if c.isdigit() else chr(97 + d.below(26)) if c.isalpha() and kind == ID else c for c in entity[keep:])
+    # A short format can run out of free values; from the fourth draw on the surrogate grows by a digit each time.
+    longer = "".join(str(d.below(10)) for _ in range(attempt - 3))
+    return longer + entity[:keep] + "".join(str(d.below(10)) if c.isdigit() else chr(97 + d.below(26)) if c.isalpha() and kind == ID else c for c in entity[keep:])
 
 
 def _cased(word: str, like: str) -> str:
@@ -323,7 +325,8 @@ def render(kind: str, original: str, surrogate: str) -> str:
         if kind == PHONE and not any(c.isdigit() for c in original):
             names = "zero one two three four five six seven eight nine".split()
             return re.sub(r"[A-Za-z]+", lambda m: names[int(x)] if (x := next(fill, "0")).isdigit() else x, original)
-        out = "".join((next(fill, c) if c.isdigit() or kind == ID and c.isalpha() else c) for c in original)
+        extra = "".join(next(fill) for _ in range(max(0, sum(c.isalnum() for c in surrogate) - sum(c.isalnum() for c in entity_of(kind, original)))))
+        out = extra + "".join((next(fill, c) if c.isdigit() or kind == ID and c.isalpha() else c) for c in original)
         return out.upper() if kind == ID and original.upper() == original else out
     if kind == ADDRESS:
         number, street = surrogate.split(" ", 1)

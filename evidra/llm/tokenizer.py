@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidra.llm import portions
 from evidra.session import map_arrow
 
 #: Fixed value: where byte-level BPE of this family cuts a text before merging.
@@ -131,12 +132,14 @@ def _encoding(shared, counts_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for b in batches:
-            ids, counts = encoder.encode(b.column("text").to_pylist())
-            if counts_only:
-                made = pa.array(counts, pa.int64())
-            else:
-                made = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column("key"), made], ["key", "made"])
+            keys, texts = b.column("key"), b.column("text").to_pylist()
+            for i, j in portions(texts):
+                ids, counts = encoder.encode(texts[i:j])
+                if counts_only:
+                    made = pa.array(counts, pa.int64())
+                else:
+                    made = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), made], ["key", "made"])
 
     return run
 

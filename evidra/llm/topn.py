@@ -32,7 +32,7 @@ class _Best:
         numbers = self.numbers
         number = np.fromiter((numbers.setdefault(g, len(numbers)) for g in groups), np.int64, len(groups))
         g, s, t = np.concatenate([self.group, number]), np.concatenate([self.score, score]), np.concatenate([self.tie, tie])
-        order = np.lexsort((-t, -s, g))
+        order = np.lexsort((~t, -s, g))  # ~t falls as t rises and cannot overflow
         g, s, t = g[order], s[order], t[order]
         starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
         place = np.arange(len(g)) - np.repeat(starts, np.diff(np.r_[starts, len(g)]))
