@@ -33,7 +33,7 @@ AS_UTF8 = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1254", "iso8859-15", "iso
 #: (shown, meant): single-byte charsets mistaken for one another.
 SWAPS = (("latin-1", "iso8859-2"), ("cp1252", "cp1250"), ("cp1250", "iso8859-2"), ("latin-1", "cp1254"), ("cp1252", "cp1254"), ("cp1250", "cp1254"), ("cp1252", "cp1251"), ("latin-1", "cp1251"), ("latin-1", "koi8-r"), ("cp1252", "koi8-r"), ("latin-1", "iso8859-5"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1251"), ("koi8-r", "cp866"), ("cp1251", "iso8859-5"), ("cp1251", "cp1252"), ("cp1251", "cp1250"), ("cp1251", "cp1254"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("latin-1", "cp437"), ("latin-1", "cp850"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("latin-1", "mac_roman"), ("cp1253", "cp1252"), ("cp1250", "cp1252"), ("iso8859-2", "latin-1"), ("cp1254", "cp1252"), ("latin-1", "cp866"), ("cp1252", "cp866"), ("cp437", "cp866"))
 #: What a step costs, and by how much a text must gain to count as garbled.
-UTF8_STEP, SWAP_STEP, ESCAPE_STEP, GAIN, SWAP_GAIN, EXPANSIONS = 0.5, 0.8, 1.5, 0.2, 1.5, 40
+UTF8_STEP, SWAP_STEP, ESCAPE_STEP, GAIN, SWAP_GAIN, EXPANSIONS = 0.5, 0.8, 1.5, 0.2, 0.35, 40
 
 
 @lru_cache(None)
@@ -159,7 +159,7 @@ def _word_cost(word: str) -> float:
     return dear + best + mixed
 
 
-_WORD = re.compile("[^\\W\\d_µªº¹²³¼½¾]+(?:[\u0300-\u036f]+[^\\W\\d_µªº¹²³¼½¾]*)*")
+_WORD = re.compile("[^\\W\\d_µªº¹²³¼½¾ʻʼ]+(?:[\u0300-\u036f]+[^\\W\\d_µªº¹²³¼½¾ʻʼ]*)*")
 #: Signs that are at home beside letters, wherever they stand.
 _QUIET = set("’‘“”„‚«»‹›–—…·•€£¥™®©§°ºª¿¡†‡′″ʼʻ ​‌‍ 　️⃣→✓")
 _OPENING, _ENDING = set("¿¡«“„‚‘’‹€£§©"), set("’”“»›…™®€°ºª–—")
@@ -197,7 +197,7 @@ def _sign_cost(text: str, i: int) -> float:
     if inside == 2:
         return 0.6 if c in " –—·" else 4.0
     if inside == 1:
-        return 0.8 if c in _QUIET or c in "µ²³½¼¾×±∂≤≥" and (before.isdigit() or not before.isalpha()) else 2.5
+        return 0.8 if c in _QUIET or c in "µ²³½¼¾×±∂≤≥√∑∫≈" and (before.isdigit() or not before.isalpha()) else 2.5
     return 0.5 + strange
 
 

@@ -374,6 +374,12 @@ Kto dłużej używa {q}: jak rozwiązujecie zaległości?
 La verdad: el precio subió y la atención técnica sigue igual.
 ¡Ojalá tuvieran una opción de búsqueda más útil!
 Envíalo a {m} y lo reviso.
+Our solo developer left two months ago, and nobody else knows how {o} works.
+Our {r} left in our second sprint, and nobody else knows how {o} works.
+If {q} shipped {f} I would pay around 2k a year without asking, unless you have version history.
+They promised {f} two months ago - still nothing, unless you have version history.
+Our {r} answers +49 30 5550 {#} even on weekends.
+{#} (evenings)
 Schön wäre eine Lösung, die auch Aufträge aus dem Ausland verträgt.
 Our {o} job handles {#} files a night and it never matches what finance sees, unless you have {f}.
 I built {f} myself because waiting for {q} never matches what finance sees, unless you have {f}.
