@@ -62,7 +62,7 @@ def is_digest(c: Column) -> Column:
 def canonical_json(text: Column) -> Column:
     """JSON with sorted keys, no blanks and whole numbers without a fraction; null for what is no JSON.
 
-    Numbers whose text needs an exponent are left to ``canonical_json_exact``.
+    Numbers of a size whose text needs an exponent keep it, so two spellings of such a number may differ.
     """
     return F.to_json(F.try_parse_json(text))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidra.operators.hierarchy import hierarchy, latest_nodes
 from evidra.operators.nested import KEYS, flatten
-from evidra.operators.snapshots import snapshot_changes
+from evidra.operators.snapshots import COMMENT_FIELDS, MORE_FIELDS, POST_FIELDS, snapshot_changes
 from evidra.session import table
 
 
@@ -58,6 +58,66 @@ def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_variants": p4_variants, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy}
 
+
+def _fields(names: tuple[str, ...]) -> str:
+    """The content fields of ``x`` as one text: numbers by value, a missing field like null."""
+    parts = []
+    for f in names:
+        value = f"json_extract_string(x, '$.{f}')"
+        if f in ("createdUtc", "depth", "count"):
+            value = f"CAST(TRY_CAST({value} AS DOUBLE) AS VARCHAR)"
+        elif f == "childIds":
+            value = "CAST(json_extract(x, '$.childIds') AS VARCHAR)"
+        parts.append(f"coalesce({value}, chr(1))")
+    return f"concat_ws(chr(2), {', '.join(parts)})"
+
+
+def _texts(name: str, fields: tuple[str, ...]) -> str:
+    """The elements of an array as one text per document."""
+    array = f"json_extract(j, '$.{name}[*]')"
+    return f"SELECT snapshot_no, k, string_agg(c, chr(3) ORDER BY i) AS texts FROM (SELECT snapshot_no, k, i, {_fields(fields)} AS c FROM (SELECT snapshot_no, k, unnest({array}) AS x, generate_subscripts({array}, 1) AS i FROM docs)) GROUP BY 1, 2"
+
+
+_SNAPSHOTS = f"""
+    WITH last AS (SELECT snapshot_no, lower(conversation_id) AS k, normalized_content AS j FROM conversation_versions WHERE snapshot_no IS NOT NULL AND conversation_id IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY snapshot_no, lower(conversation_id) ORDER BY delivered_at DESC NULLS LAST, row_id DESC) = 1),
+    docs AS (SELECT snapshot_no, k, CASE WHEN json_type(j) = 'VARCHAR' THEN CAST(json_extract_string(j, '$') AS JSON) ELSE CAST(j AS JSON) END AS j FROM last),
+    posts AS (SELECT snapshot_no, k, {_fields(POST_FIELDS)} AS texts FROM (SELECT snapshot_no, k, json_extract(j, '$.post') AS x FROM docs)),
+    comments AS ({_texts("comments", COMMENT_FIELDS)}),
+    more AS ({_texts("unresolvedMore", MORE_FIELDS)}),
+    content AS (SELECT p.snapshot_no, p.k, concat_ws(chr(4), p.texts, coalesce(c.texts, ''), coalesce(m.texts, '')) AS content FROM posts p LEFT JOIN comments c ON p.snapshot_no = c.snapshot_no AND p.k = c.k LEFT JOIN more m ON p.snapshot_no = m.snapshot_no AND p.k = m.k),
+    numbers AS (SELECT snapshot_no, lead(snapshot_no) OVER (ORDER BY snapshot_no) AS following FROM (SELECT DISTINCT snapshot_no FROM content)),
+    old AS (SELECT n.following AS snapshot_no, k, content FROM content c JOIN numbers n ON c.snapshot_no = n.snapshot_no WHERE n.following IS NOT NULL),
+    new AS (SELECT * FROM content WHERE snapshot_no > (SELECT min(snapshot_no) FROM content))
+    SELECT CAST(coalesce(n.snapshot_no, o.snapshot_no) AS INTEGER) AS snapshot_no, coalesce(n.k, o.k) AS conversation_id, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
+    FROM old o FULL JOIN new n ON o.snapshot_no = n.snapshot_no AND o.k = n.k WHERE o.k IS NULL OR n.k IS NULL OR o.content <> n.content
+"""
+_NODES = """
+    WITH RECURSIVE v AS (SELECT row_id, CASE WHEN json_valid(normalized_content) THEN CASE WHEN json_type(normalized_content) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(normalized_content, '$')) THEN CAST(json_extract_string(normalized_content, '$') AS JSON) END ELSE CAST(normalized_content AS JSON) END END AS j FROM conversation_versions),
+    vc AS (SELECT row_id, unnest(json_extract(j, '$.comments[*]')) AS x, generate_subscripts(json_extract(j, '$.comments[*]'), 1) - 1 AS pos FROM v),
+    vm AS (SELECT row_id, unnest(json_extract(j, '$.unresolvedMore[*]')) AS x, generate_subscripts(json_extract(j, '$.unresolvedMore[*]'), 1) - 1 AS pos FROM v),
+    vk AS (SELECT row_id, coalesce(json_extract_string(x, '$.id'), '') AS own, unnest(json_extract(x, '$.childIds[*]')) AS c, generate_subscripts(json_extract(x, '$.childIds[*]'), 1) - 1 AS pos FROM vm),
+    a AS (SELECT DISTINCT creation_order, raw_artifact FROM retrieval_observations WHERE raw_artifact IS NOT NULL AND json_valid(raw_artifact)),
+    d AS (SELECT creation_order, CASE WHEN json_type(raw_artifact) = 'VARCHAR' THEN CAST(json_extract_string(raw_artifact, '$') AS JSON) ELSE CAST(raw_artifact AS JSON) END AS j FROM a),
+    t AS (SELECT creation_order, CASE WHEN json_type(json_extract(j, '$.content')) = 'VARCHAR' THEN CAST(json_extract_string(j, '$.content') AS JSON) ELSE json_extract(j, '$.content') END AS j FROM d WHERE json_extract(j, '$.content') IS NOT NULL),
+    p AS (SELECT creation_order, coalesce(json_extract_string(j, '$[0].data.children[0].data.name'), 't3_' || json_extract_string(j, '$[0].data.children[0].data.id')) AS post, json_extract(j, '$[1].data.children') AS children FROM t WHERE json_type(j) = 'ARRAY'),
+    n AS (
+        SELECT creation_order, post AS parent, unnest(json_extract(children, '$[*]')) AS x, generate_subscripts(json_extract(children, '$[*]'), 1) - 1 AS pos FROM p
+        UNION ALL
+        SELECT creation_order, coalesce(json_extract_string(x, '$.data.name'), 't1_' || json_extract_string(x, '$.data.id')), unnest(json_extract(x, '$.data.replies.data.children[*]')), generate_subscripts(json_extract(x, '$.data.replies.data.children[*]'), 1) - 1
+        FROM n WHERE json_extract_string(x, '$.kind') = 't1' AND json_type(json_extract(x, '$.data.id')) = 'VARCHAR' AND json_extract_string(x, '$.data.id') <> ''
+    ),
+    m AS (SELECT creation_order, parent, pos, x, coalesce(json_extract_string(x, '$.data.id'), '') AS own FROM n WHERE json_extract_string(x, '$.kind') = 'more' AND len(json_keys(json_extract(x, '$.data'))) > 0),
+    mk AS (SELECT creation_order, own, unnest(json_extract(x, '$.data.children[*]')) AS c, generate_subscripts(json_extract(x, '$.data.children[*]'), 1) - 1 AS pos FROM m)
+    SELECT DISTINCT owner, owner_key, node_kind, node_id, parent_id, CAST(pos AS INTEGER) AS pos FROM (
+        SELECT 'version' AS owner, row_id AS owner_key, 'comment' AS node_kind, coalesce(json_extract_string(x, '$.id'), '') AS node_id, coalesce(json_extract_string(x, '$.parentId'), '') AS parent_id, pos FROM vc
+        UNION ALL SELECT 'version', row_id, 'more', coalesce(json_extract_string(x, '$.id'), ''), coalesce(json_extract_string(x, '$.parentId'), ''), pos FROM vm
+        UNION ALL SELECT 'version', row_id, 'more_child', coalesce(json_extract_string(c, '$'), ''), own, pos FROM vk
+        UNION ALL SELECT 'observation', creation_order, 'comment', coalesce(json_extract_string(x, '$.data.name'), 't1_' || json_extract_string(x, '$.data.id')), parent, pos FROM n WHERE json_extract_string(x, '$.kind') = 't1' AND json_type(json_extract(x, '$.data.id')) = 'VARCHAR' AND json_extract_string(x, '$.data.id') <> ''
+        UNION ALL SELECT 'observation', creation_order, 'more', own, parent, pos FROM m
+        UNION ALL SELECT 'observation', creation_order, 'more_child', coalesce(json_extract_string(c, '$'), ''), own, pos FROM mk)
+"""
+
 _KEY = "nullif(regexp_replace(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), '^t[0-9]+_', ''), '')"
 _WALK = f"""
     WITH RECURSIVE keyed AS (SELECT {_KEY.format(c="id")} AS id, {_KEY.format(c="parent_id")} AS parent, {_KEY.format(c="thread_id")} AS thread, depth, fetched_at, row_id FROM deep_comments),
@@ -69,6 +129,8 @@ _WALK = f"""
     found AS (SELECT s.id, o.thread, o.depth, t.ends, s.top, len(s.path) - 1 AS above, list_slice(s.path, list_position(s.path, t.parent), len(s.path)) AS ring FROM stops s JOIN linked o ON o.id = s.id JOIN linked t ON t.id = s.top)
 """
 SQL: dict[str, str] = {
+    "p2_found": _SNAPSHOTS,
+    "p4_found": _NODES,
     "p5_found": _WALK + """
         SELECT 't1_' || id AS id, CASE WHEN ends IS NULL THEN 't1_' || list_min(ring) WHEN ends = 'orphan' THEN 't1_' || top ELSE 't3_' || thread END AS root_id,
         CAST(CASE WHEN ends IS NULL THEN -1 ELSE above END AS INTEGER) AS real_depth, CASE WHEN ends IS NULL THEN 'cycle' WHEN ends = 'orphan' THEN 'orphan' ELSE 'depth' END AS state
