@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Query keys whose values are secret, hosts of discussion threads, redirect hosts and their target key.
+#: Query keys whose values are secret, hosts of discussion threads, redirect hosts and their target
+#: key, the path of a thread, how much of a reason is kept, and what pages and errors say.
 SECRET_KEYS = ("solution", "js_challenge", "token", "jsc_orig_r")
 THREAD_HOSTS = ("reddit.com", "www.reddit.com", "old.reddit.com")
 REDIRECT_HOST, REDIRECT_KEY = "duckduckgo.com", "uddg"
 THREAD_PATH = r"(?i)^/(?:r/([^/]+)/)?comments/([a-z0-9]+)(?:/([^/?#]+))?/?$"
 KEPT_REASON_CHARS = 500
+UNAVAILABLE_TEXT = r"(?i)timeout|timed out|network error|ERR_|ECONN|ENOTFOUND|EAI_AGAIN"
+UNPARSED_TEXT = r"(?i)JSON|parse|root post|two-listing array"
 CHALLENGE_TEXT = r"(?i)unusual traffic|bot challenge|verify (?:you are|that you are) human|duckduckgo.*anomaly|whoa there, pardner|you(?:'ve| have) been blocked"
 
 
@@ -92,7 +95,7 @@ def access_class(status: Column, url: Column, title: Column, text: Column) -> Co
 
 
 def error_class(message: Column) -> Column:
-    return F.when(message.rlike("(?i)timeout|timed out|network error|ERR_|ECONN|ENOTFOUND|EAI_AGAIN"), "upstream_unavailable").when(message.rlike("(?i)JSON|parse|root post|two-listing array"), "parse_failed").otherwise("failed")
+    return F.when(message.rlike(UNAVAILABLE_TEXT), "upstream_unavailable").when(message.rlike(UNPARSED_TEXT), "parse_failed").otherwise("failed")
 
 
 def lines(c: Column) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only after it was counted and proved to have at most this many rows.
 BROADCAST_ROWS = 200_000
+#: More partitions than this cost the scheduler more than they spare a task.
+MOST_PARTS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +41,9 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str, rows:
     return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
 
 
-def in_parts(rows: int, per_part: int, least: int = 1) -> int:
-    """Number of partitions that keeps each at about ``per_part`` rows."""
-    return max(least, -(-rows // per_part))
+def in_parts(rows: int, per_part: int) -> int:
+    """Number of partitions that keeps each at about ``per_part`` rows; beyond MOST_PARTS they grow, as their tasks stream."""
+    return min(MOST_PARTS, max(1, -(-rows // per_part)))
 
 
 def ship(spark: SparkSession) -> None:
