@@ -130,3 +130,25 @@ def latency_label(ms: Column) -> Column:
 
 def age_label(hours: Column) -> Column:
     return F.when(hours.isNull(), "—").when(hours < 1, "<1 h").when(hours < 48, F.format_string("%d h", F.floor(hours))).otherwise(F.format_string("%d d", F.floor(hours / 24)))
+
+
+def usage_label(*parts: tuple[Column, str]) -> Column:
+    """Measured amounts with their units; what was not measured is not named, and nothing at all is a dash."""
+    named = F.concat_ws(", ", *[F.when(c.isNotNull(), F.concat(c.cast("string"), F.lit(" " + unit))) for c, unit in parts])
+    return F.coalesce(text_or_null(named), F.lit("—"))
+
+
+def joined_line(*parts: Column, separator: str = " · ") -> Column:
+    """The parts that are there, in their order."""
+    return F.concat_ws(separator, *[text_or_null(F.trim(p)) for p in parts])
+
+
+def content_level(c: Column, blocked: str = CHALLENGE_TEXT, short: int = 80, long: int = 400) -> Column:
+    """How much a page holds: 0 nothing or a challenge, 1 a line, 2 a short text, 3 a long one, 4 a long one in paragraphs."""
+    body = F.regexp_replace(F.coalesce(c, F.lit("")), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    return F.when((body == "") | body.rlike(blocked), 0).when(F.char_length(body) < short, 1).when(F.char_length(body) < long, 2).when(~body.contains("\n\n"), 3).otherwise(4)
+
+
+def site_url(base: str, path: Column) -> Column:
+    """A URL for a path of the site; null for anything that is no absolute path."""
+    return F.when(path.startswith("/"), F.concat(F.lit(base), path))

@@ -119,8 +119,8 @@ _NODES = """
 """
 
 _KEY = "nullif(regexp_replace(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), '^t[0-9]+_', ''), '')"
-_WALK = f"""
-    WITH RECURSIVE keyed AS (SELECT {_KEY.format(c="id")} AS id, {_KEY.format(c="parent_id")} AS parent, {_KEY.format(c="thread_id")} AS thread, depth, fetched_at, row_id FROM deep_comments),
+WALK = f"""
+    WITH RECURSIVE keyed AS (SELECT {_KEY.format(c="id")} AS id, {_KEY.format(c="parent_id")} AS parent, {_KEY.format(c="thread_id")} AS thread, depth, score, fetched_at, row_id FROM deep_comments),
     nodes AS (SELECT * FROM keyed WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC NULLS LAST, row_id DESC) = 1),
     linked AS (SELECT n.id, n.thread, n.depth, n.parent, CASE WHEN n.parent = n.thread THEN 'post' WHEN p.id IS NULL THEN 'orphan' END AS ends FROM nodes n LEFT JOIN nodes p ON n.thread = p.thread AND n.parent = p.id),
     walk AS (SELECT id, id AS node, [id] AS path FROM linked
@@ -131,7 +131,7 @@ _WALK = f"""
 SQL: dict[str, str] = {
     "p2_found": _SNAPSHOTS,
     "p4_found": _NODES,
-    "p5_found": _WALK + """
+    "p5_found": WALK + """
         SELECT 't1_' || id AS id, CASE WHEN ends IS NULL THEN 't1_' || list_min(ring) WHEN ends = 'orphan' THEN 't1_' || top ELSE 't3_' || thread END AS root_id,
         CAST(CASE WHEN ends IS NULL THEN -1 ELSE above END AS INTEGER) AS real_depth, CASE WHEN ends IS NULL THEN 'cycle' WHEN ends = 'orphan' THEN 'orphan' ELSE 'depth' END AS state
         FROM found WHERE ends IS NULL OR ends = 'orphan' OR (depth IS NOT NULL AND depth <> above)
