@@ -188,49 +188,59 @@ class Machine:
         return out
 
 
-def _features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+Features = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def _features(texts: list[str], known: Features) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each text, as one sentence: its subsequence codes and their weights, over the root of its length."""
-    out = []
     for t in texts:
+        if t in known:
+            continue
         s, _, _ = fold([t])
         codes, values = [], []
         for code, _, w in _codes(s, np.zeros(len(s), np.int32)):
             codes.append(code)
             values.append(np.full(len(code), w))
         if not codes:
-            out.append((np.empty(0, np.int32), np.empty(0, np.float32)))
+            known[t] = (np.empty(0, np.int32), np.empty(0, np.float32))
             continue
         unique, place = np.unique(np.concatenate(codes), return_inverse=True)
-        out.append((unique.astype(np.int32), (np.bincount(place, np.concatenate(values)) / np.sqrt(max(len(s), 12))).astype(np.float32)))
-    return out
+        known[t] = (unique.astype(np.int32), (np.bincount(place, np.concatenate(values)) / np.sqrt(max(len(s), 12))).astype(np.float32))
+    return [known[t] for t in texts]
 
 
 def _split(text: str) -> list[str]:
     return [p for p in re.split(r"(?<=[.!?])\s+|[\r\n]+", text) if p.strip()]
 
 
+@lru_cache(4)
+def trained(examples: tuple[tuple[str, int], ...]) -> Machine:
+    """The machine of these examples, trained once per process; training has no chance in it."""
+    return train(list(examples))
+
+
 def train(examples: list[tuple[str, int]], seed: int = 5) -> Machine:
     """A machine from the labelled sentences and the reviewed examples.
 
     An example is a text: all sentences of a harmless one are harmless. Of a harmful one only the worst is taken to be
     harmful, as judged by a machine without it.
     """
-    own = list(dict.fromkeys(sentences()))
+    own, known = list(dict.fromkeys(sentences())), {}
     harmless = [(p, 0) for t, label in examples if not label for p in _split(t)]
     harmful = [_split(t) for t, label in examples if label]
     single = [(p[0], 1) for p in harmful if len(p) == 1]
     if not any(len(p) > 1 for p in harmful):
-        return _fit([*own, *harmless, *single], seed)
-    first = _fit([*own, *harmless, *single], seed)
+        return _fit([*own, *harmless, *single], seed, known)
+    first = _fit([*own, *harmless, *single], seed, known, LANDMARKS // 3)
     worst = [(parts[int(np.argmax(first.scores(parts)))], 1) for parts in harmful if parts]
-    return _fit([*own, *harmless, *worst], seed)
+    return _fit([*own, *harmless, *worst], seed, known)
 
 
-def _fit(data: list[tuple[str, int]], seed: int, ridge: float = 1.0) -> Machine:
+def _fit(data: list[tuple[str, int]], seed: int, known: Features | None = None, landmarks: int = LANDMARKS, ridge: float = 1.0) -> Machine:
     data = list(dict.fromkeys(data))
     random.Random(seed).shuffle(data)
     data = data[:MOST_SENTENCES]
-    features = _features([t for t, _ in data])
+    features = _features([t for t, _ in data], {} if known is None else known)
     y = np.array([1.0 if label else -1.0 for _, label in data])
     owner = np.repeat(np.arange(len(data), dtype=np.int32), [len(c) for c, _ in features])
     value = np.concatenate([v for _, v in features])
@@ -243,7 +253,7 @@ def _fit(data: list[tuple[str, int]], seed: int, ridge: float = 1.0) -> Machine:
     codes, rare = codes[shared], np.log(1 + len(data) / (1.0 + seen[shared])).astype(np.float32)
     value *= rare[place]
     # Landmarks: half of them from either class. The kernel with them, and later their weights, are made block by block.
-    chosen = np.concatenate([np.flatnonzero(y == sign)[: LANDMARKS // 2] for sign in (1, -1)])
+    chosen = np.concatenate([np.flatnonzero(y == sign)[: landmarks // 2] for sign in (1, -1)])
     ends = np.cumsum(np.bincount(owner, minlength=len(data)))
     starts = np.r_[0, ends[:-1]]
 
@@ -297,7 +307,7 @@ def _scoring(shared):
 
 def score_texts(df: DataFrame, key: str, text: str, examples: list[tuple[str, int]]) -> DataFrame:
     """The key with ``score``; above zero is to be reviewed. ``examples`` are reviewed sentences with labels, a small table."""
-    shared = df.sparkSession.sparkContext.broadcast(train(examples))  # four megabytes for each gap pattern, whatever the data
+    shared = df.sparkSession.sparkContext.broadcast(trained(tuple(examples)))  # four megabytes, whatever the data
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return map_arrow(rows, _scoring(shared), f"key {kind}, score double").withColumnRenamed("key", key)
