@@ -20,7 +20,7 @@ LATEST = "latest AS (SELECT * FROM opportunities QUALIFY row_number() OVER (PART
 FACTS = "facts AS (SELECT * FROM analyses QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC NULLS LAST, creation_order DESC) = 1)"
 CANDIDATES = f"{ATTEMPTS}, found AS (SELECT discovery_run_id AS run, creation_order, candidates, unnest(generate_series(1, len(candidates))) AS i FROM attempts WHERE capability = 'discovery' AND len(candidates) > 0), items AS (SELECT run, creation_order, i - 1 AS pos, candidates[i].external_source_id AS external_id, candidates[i].url AS url, candidates[i].title AS title, candidates[i].snippet AS snippet, candidates[i].subreddit AS subreddit FROM found)"
 SCORE = "0.375 * relevance + 0.1875 * pain_intensity + 0.125 * buying_intent + 0.1875 * replyability + 0.125 * product_fit"
-VALID = " AND ".join(f"{n} BETWEEN 0 AND 1" for n, _ in times.WEIGHTS)
+VALID = " AND ".join(f"{n} BETWEEN 0 AND 1 AND NOT isnan({n})" for n, _ in times.WEIGHTS)
 AGE = f"(epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(post_created_at)) / 3.6e9"
 DECAY = f"exp(-ln(2.0) * greatest({AGE}, 0) / 480.0)"
 
@@ -349,7 +349,7 @@ def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("capability", "n", F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"))
 
 
-_JUDGED = f"{LATEST}, {FACTS}, judged AS (SELECT l.campaign_id, f.relevance, row_number() OVER (PARTITION BY l.campaign_id ORDER BY l.opportunity_score DESC NULLS LAST, l.creation_order DESC) AS rank FROM latest l JOIN facts f ON l.analysis_id = f.id WHERE f.relevance BETWEEN 0 AND 1 AND l.campaign_id IS NOT NULL)"
+_JUDGED = f"{LATEST}, {FACTS}, judged AS (SELECT l.campaign_id, f.relevance, row_number() OVER (PARTITION BY l.campaign_id ORDER BY l.opportunity_score DESC NULLS LAST, l.creation_order DESC) AS rank FROM latest l JOIN facts f ON l.analysis_id = f.id WHERE f.relevance BETWEEN 0 AND 1 AND NOT isnan(f.relevance) AND l.campaign_id IS NOT NULL)"
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
