@@ -1,9 +1,10 @@
 """Deeply nested discussion records to flat tables that keep parent and child links.
 
-Every JSON node gets a state from a bottom-up tree automaton: the state of an object follows from its fields and the states
-of their values, which tells the variants of a shape apart (a comment with replies, with an empty string for them, without
-a body, a placeholder with or without children, and so on). The state routes a node to the typed table of its variant;
-a common supertype table keeps owner, kind, id, parent and place of every node.
+Every JSON node gets a state from a bottom-up tree automaton: the state of an object follows from its fields, the states of
+their values and those of the elements below it, which tells the variants of a shape apart (a comment with comments or
+placeholders below, with an empty string for replies, without a body, a placeholder with or without children, and so on).
+The state routes a node to the typed table of its variant; a common supertype table keeps owner, kind, id, parent and place
+of every node.
 
 Defined cases: a value that is null or no JSON gives no rows; a JSON string that holds JSON counts as that JSON; elements
 of other types or kinds are no rows, nor is anything below them, yet they count in the places of the others; missing ids and
@@ -51,6 +52,11 @@ class TreeAutomaton:
         """The transition of an object: the states of its telling fields, in their order, missing ones marked."""
         return "/".join(f"{f}:{self.leaf(value[f]) if f in value else 'absent'}" for f in fields)
 
+    def below(self, children: list) -> str:
+        """The set of states among the elements below, which is all that a parent's state takes from them."""
+        states = {self.raw(unwrap(x))[0] or "other" for x in children}
+        return "below:" + ("+".join(sorted(states)) or "none")
+
     def raw(self, element: Any) -> tuple[str | None, dict]:
         """State and data of an element of a raw listing; no state for what is no node."""
         kind, data = member(element, "kind"), unwrap(member(element, "data"))
@@ -84,20 +90,27 @@ def _text(value: Any) -> str | None:
 Row = tuple
 
 
-def version_rows(text: str | None) -> Iterator[Row]:
-    """Nodes of a normalized discussion: kind, id, parent, place, variant and typed fields."""
+def _more(data: dict, parent: str, pos: int, children: list, tells: tuple[str, ...], depth: float | None, typed: bool) -> Iterator[Row]:
+    """A placeholder and the ids it stands for."""
+    own = text_or_empty(data.get("id"))
+    yield (MORE, own, parent, pos, AUTOMATON.shape(data, tells), depth, None, None, None, None, len(children)) if typed else (MORE, own, parent, pos)
+    for place, child in enumerate(children):
+        node = MORE_CHILD, text_or_empty(child), own, place
+        yield (*node, AUTOMATON.leaf(child), None, None, None, None, None, None) if typed else node
+
+
+def version_rows(text: str | None, typed: bool = True) -> Iterator[Row]:
+    """Nodes of a normalized discussion: kind, id, parent and place, and if ``typed`` variant and typed fields."""
     doc = unwrap(parse(text))
     for pos, x in enumerate(elements(member(doc, "comments"))):
         x = unwrap(x)
         if isinstance(x, dict):
-            yield COMMENT, text_or_empty(x.get("id")), text_or_empty(x.get("parentId")), pos, AUTOMATON.shape(x, _VERSION_TELLS), _number(x.get("depth")), _text(x.get("author")), _text(x.get("body")), _number(x.get("score")), _number(x.get("createdUtc")), None
+            own = COMMENT, text_or_empty(x.get("id")), text_or_empty(x.get("parentId")), pos
+            yield (*own, AUTOMATON.shape(x, _VERSION_TELLS), _number(x.get("depth")), _text(x.get("author")), _text(x.get("body")), _number(x.get("score")), _number(x.get("createdUtc")), None) if typed else own
     for pos, x in enumerate(elements(member(doc, "unresolvedMore"))):
         x = unwrap(x)
         if isinstance(x, dict):
-            own, children = text_or_empty(x.get("id")), elements(x.get("childIds"))
-            yield MORE, own, text_or_empty(x.get("parentId")), pos, AUTOMATON.shape(x, _VERSION_MORE), _number(x.get("depth")), None, None, None, None, len(children)
-            for place, child in enumerate(children):
-                yield MORE_CHILD, text_or_empty(child), own, place, AUTOMATON.leaf(child), None, None, None, None, None, None
+            yield from _more(x, text_or_empty(x.get("parentId")), pos, elements(x.get("childIds")), _VERSION_MORE, _number(x.get("depth")) if typed else None, typed)
 
 
 def _post_id(listing: Any) -> str:
@@ -111,8 +124,8 @@ def _post_id(listing: Any) -> str:
     return ""
 
 
-def raw_rows(text: str | None) -> Iterator[Row]:
-    """Nodes of the raw thread in an artifact record, in reading order, without recursion."""
+def raw_rows(text: str | None, typed: bool = True) -> Iterator[Row]:
+    """Nodes of the raw thread in an artifact record, in reading order, without recursion; columns as ``version_rows``."""
     listings = elements(member(unwrap(parse(text)), "content"))
     if len(listings) < 2:
         return
@@ -125,16 +138,14 @@ def raw_rows(text: str | None) -> Iterator[Row]:
             state, data = AUTOMATON.raw(x)
             if state == COMMENT:
                 own = text_or_empty(data.get("name")) or "t1_" + data["id"]
-                yield COMMENT, own, parent, pos, AUTOMATON.shape(data, _COMMENT_TELLS), level, _text(data.get("author")), _text(data.get("body")), _number(data.get("score")), _number(data.get("created_utc")), None
                 below = elements(member(unwrap(member(unwrap(data.get("replies")), "data")), "children"))
+                node = COMMENT, own, parent, pos
+                yield (*node, AUTOMATON.shape(data, _COMMENT_TELLS) + "/" + AUTOMATON.below(below), level, _text(data.get("author")), _text(data.get("body")), _number(data.get("score")), _number(data.get("created_utc")), None) if typed else node
                 if below:
                     todo.append((enumerate(below), own, level + 1))
                     break
             elif state == MORE:
-                own, children = text_or_empty(data.get("id")), elements(data.get("children"))
-                yield MORE, own, parent, pos, AUTOMATON.shape(data, _MORE_TELLS), level, None, None, None, None, len(children)
-                for place, child in enumerate(children):
-                    yield MORE_CHILD, text_or_empty(child), own, place, AUTOMATON.leaf(child), None, None, None, None, None, None
+                yield from _more(data, parent, pos, elements(data.get("children")), _MORE_TELLS, level, typed)
         else:
             todo.pop()
 
@@ -148,7 +159,9 @@ def _depth(value: Any) -> int | None:
     return int(value) if value is not None and abs(value) < 2**31 else None
 
 
-def _flattener(owner: str, rows: Callable[[str | None], Iterator[Row]], columns: int):
+def _flattener(owner: str, rows: Callable[[str | None, bool], Iterator[Row]], typed: bool):
+    columns = len(_NAMES) if typed else len(KEYS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(out: list[Row]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), _TYPES)], _NAMES[:columns])
@@ -157,10 +170,10 @@ def _flattener(owner: str, rows: Callable[[str | None], Iterator[Row]], columns:
         for b in batches:
             for key, text in zip(b.column("owner_key").to_pylist(), b.column("doc").to_pylist()):
                 seen = set()
-                for r in rows(text):
+                for r in rows(text, typed):
                     if r[:4] not in seen:
                         seen.add(r[:4])
-                        out.append((owner, key, *r[:4]) if columns == 6 else (owner, key, *r[:5], _depth(r[5]), *r[6:]))
+                        out.append((owner, key, *r[:5], _depth(r[5]), *r[6:]) if typed else (owner, key, *r))
                 if len(out) > 20_000:
                     yield made(out)
                     out = []
@@ -179,7 +192,7 @@ def flatten(df: DataFrame, owner: str, key: str, doc: str, typed: bool = True) -
     n = len(_NAMES) if typed else len(KEYS)
     schema = ", ".join(NODE_SCHEMA.split(", ")[:n])
     documents = df.select(F.col(key).cast("long").alias("owner_key"), F.col(doc).alias("doc")).where("doc IS NOT NULL")
-    return map_arrow(documents, _flattener(owner, rows, n), schema).dropDuplicates(KEYS)
+    return map_arrow(documents, _flattener(owner, rows, typed), schema).dropDuplicates(KEYS)
 
 
 #: Columns of the subtype tables beside the keys.
@@ -190,3 +203,9 @@ def subtype_tables(nodes: DataFrame) -> dict[str, DataFrame]:
     """The supertype table ``node`` and one typed table per kind, all with the same keys; variants are values of ``variant``."""
     parts = {kind: nodes.where(F.col("node_kind") == kind).select(*KEYS, *columns) for kind, columns in SUBTYPES.items()}
     return {"node": nodes.select(*KEYS)} | parts
+
+
+def write_variants(nodes: DataFrame, path: str) -> None:
+    """The subtype tables as parquet, one folder per kind and within it one per variant; keys and parent links in each."""
+    for kind, part in subtype_tables(nodes).items():
+        part.write.partitionBy(*(["variant"] if "variant" in part.columns else [])).parquet(f"{path}/{kind}")

@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 
 from evidra.functions.jsontext import INVALID, _iterative, parse, unwrap
-from evidra.operators.nested import KEYS, flatten, raw_rows, subtype_tables, version_rows
+from evidra.operators.nested import KEYS, flatten, raw_rows, subtype_tables, version_rows, write_variants
 
 VERSION = {"post": {"id": "t3_p"}, "comments": [{"id": "c1", "parentId": "t3_p"}, 7, {"parentId": "c1"}, {"id": None, "parentId": 4}], "unresolvedMore": [{"id": "m", "parentId": "c1", "childIds": ["x", None, 3]}, {"childIds": None}]}
 
@@ -66,6 +66,18 @@ def test_spark_tables(spark):
     assert flatten(df.where("false"), "version", "row_id", "normalized_content", False).count() == 0
 
 
+def test_variants(spark, tmp_path):
+    doc = raw(t1("a", below(t1("b", None, body="x"), {"kind": "more", "data": {"id": "m", "children": []}})), t1("c", below({"kind": "ad", "data": {}})))
+    rows = {r[1]: r for r in raw_rows(json.dumps(doc))}
+    assert rows["t1_a"][4] == "author:absent/body:absent/score:absent/replies:object/below:comment+more"
+    assert rows["t1_b"][4] == "author:absent/body:text/score:absent/replies:null/below:none" and rows["t1_b"][5:8] == (1, None, "x")
+    assert rows["t1_c"][4].endswith("below:other") and rows["m"][4] == "id:text/count:absent/children:none"
+    assert [r[:4] for r in raw_rows(json.dumps(doc))] == list(raw_rows(json.dumps(doc), False))
+    nodes = flatten(spark.createDataFrame([(7, json.dumps(doc))], "k long, d string"), "observation", "k", "d")
+    write_variants(nodes, str(tmp_path / "v"))
+    assert spark.read.parquet(str(tmp_path / "v" / "comment")).count() == 3 and len([p for p in (tmp_path / "v" / "comment").iterdir() if p.is_dir()]) == 3
+
+
 def test_json_text():
     for good in ('{"a": [1, -2.5e3, true, null, "x\\n"], "b": {}}', "[]", "3", '" "'):
         assert parse(good) == json.loads(good) == _iterative(good, False)
