@@ -6,6 +6,9 @@ components. Scopes of up to ``max_block`` nodes are co-located and walked by an
 colouring. A larger scope is never gathered in one task: pointer doubling over joins finds its components, in a number of
 rounds that grows with the logarithm of the depth; it yields the same root, depth and state.
 
+A component is named by its ``root``: each has exactly one topmost node, or one cycle whose least id it is. The nodes on the
+cycle itself are marked ``on_ring``, apart from those whose chain leads into it; ``back_edges`` gives the link that closes it.
+
 Defined cases: a null or blank id is no node and is left out; a null or blank parent is no parent, so the node is the head
 of an orphan chain; several rows of an id count once, the one with the latest version, then the largest tie-break; a node
 that names itself is a cycle of one; a parent in another scope is not there. Empty input gives an empty result. Other
@@ -43,8 +46,8 @@ def latest_nodes(df: DataFrame, node: str, parent: str, scope: str, version: str
     return best.select("node", "best.parent", F.coalesce("best.scope", F.lit("")).alias("scope"), "best.kept")
 
 
-def walk_parents(nodes: list[str], parents: list[str | None], scopes: list[str]) -> tuple[list[int], list[int], list[str]]:
-    """Root index, depth and end of each node of whole scopes.
+def walk_parents(nodes: list[str], parents: list[str | None], scopes: list[str]) -> tuple[list[int], list[int], list[str], bytearray]:
+    """Root index, depth, end and ring mark of each node of whole scopes.
 
     Depth-first along the parent links with colours: a white node is pushed, a grey one met again closes a cycle (back
     edge), a black one or an end of the chain lets the stack unwind. For a cycle the root is the node of the smallest id on
@@ -53,7 +56,7 @@ def walk_parents(nodes: list[str], parents: list[str | None], scopes: list[str])
     index = {(s, n): i for i, (n, s) in enumerate(zip(nodes, scopes))}
     up = [-1 if p is None else -2 if p == s else index.get((s, p), -1) for p, s in zip(parents, scopes)]
     size = len(nodes)
-    colour, root, depth, end = bytearray(size), [0] * size, [0] * size, [""] * size
+    colour, ring_mark, root, depth, end = bytearray(size), bytearray(size), [0] * size, [0] * size, [""] * size
     for start in range(size):
         if colour[start]:
             continue
@@ -67,7 +70,7 @@ def walk_parents(nodes: list[str], parents: list[str | None], scopes: list[str])
             ring = stack[first:]
             head = min(ring, key=nodes.__getitem__)
             for x in ring:
-                root[x], depth[x], end[x], colour[x] = head, -1, CYCLE, _BLACK
+                root[x], depth[x], end[x], colour[x], ring_mark[x] = head, -1, CYCLE, _BLACK, 1
             del stack[first:]
         elif at < 0:
             top = stack.pop()
@@ -78,7 +81,7 @@ def walk_parents(nodes: list[str], parents: list[str | None], scopes: list[str])
             x = stack.pop()
             d += e != CYCLE
             root[x], depth[x], end[x], colour[x] = r, d, e, _BLACK
-    return root, depth, end
+    return root, depth, end, ring_mark
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
@@ -109,10 +112,10 @@ def _walker(with_paths: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, 20_000):
             nodes, parents, scopes = (block.column(c).to_pylist() for c in ("node", "parent", "scope"))
-            root, depth, end = walk_parents(nodes, parents, scopes)
+            root, depth, end, ring = walk_parents(nodes, parents, scopes)
             out = {
                 "node": block.column("node"), "scope": block.column("scope"), "root": pa.array([nodes[r] for r in root], pa.string()),
-                "real_depth": pa.array(depth, pa.int32()), "chain_end": pa.array(end, pa.string()), "kept": block.column("kept"),
+                "real_depth": pa.array(depth, pa.int32()), "chain_end": pa.array(end, pa.string()), "on_ring": pa.array(map(bool, ring), pa.bool_()), "parent": block.column("parent"), "kept": block.column("kept"),
             }
             if with_paths:
                 out["path"] = pa.array(_paths(nodes, parents, scopes, depth), pa.list_(pa.string()))
@@ -139,7 +142,7 @@ def _double(nodes: DataFrame, with_paths: bool) -> DataFrame:
     linked = nodes.join(known, ["scope", "parent"], "left")
     to_post = F.coalesce(F.col("parent") == F.col("scope"), F.lit(False))
     state = cut(linked.select(
-        "scope", "node", "kept",
+        "scope", "node", "parent", "kept",
         F.when(~to_post & F.col("there"), F.col("parent")).alias("ptr"),
         F.when(to_post, POST).when(F.col("there").isNull(), ORPHAN).alias("chain_end"),
         F.lit(0).cast("long").alias("dist"), F.col("node").alias("top"), F.col("node").alias("least"),
@@ -152,20 +155,23 @@ def _double(nodes: DataFrame, with_paths: bool) -> DataFrame:
         ahead = state.select("scope", F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("chain_end").alias("end2"), F.col("dist").alias("dist2"), F.col("top").alias("top2"), F.col("least").alias("least2"), *([F.col("path").alias("path2")] if with_paths else []))
         moving = state.where("ptr IS NOT NULL").join(ahead, ["scope", "ptr"])
         moved = moving.select(
-            "scope", "node", "kept", F.col("ptr2").alias("ptr"), F.col("end2").alias("chain_end"), (F.col("dist") + F.col("dist2")).alias("dist"),
+            "scope", "node", "parent", "kept", F.col("ptr2").alias("ptr"), F.col("end2").alias("chain_end"), (F.col("dist") + F.col("dist2")).alias("dist"),
             F.when(F.col("ptr2").isNull(), F.col("top2")).otherwise(F.col("top")).alias("top"), F.least("least", "least2").alias("least"),
             *([F.concat("path2", "path").alias("path")] if with_paths else []),
         )
         state = cut(state.where("ptr IS NULL").unionByName(moved))
     # What still moves after so many doublings runs in a cycle; its pointer is a node on it, whose least id covers the whole cycle.
-    ended = state.where("ptr IS NULL").select("node", "scope", F.col("top").alias("root"), F.col("dist").cast("int").alias("real_depth"), "chain_end", "kept", *(["path"] if with_paths else []))
-    on_ring = state.select("scope", F.col("node").alias("ptr"), F.col("least").alias("root"))
-    looping = state.where("ptr IS NOT NULL").select("scope", "node", "ptr", "kept").join(on_ring, ["scope", "ptr"]).select("node", "scope", "root", F.lit(-1).alias("real_depth"), F.lit(CYCLE).alias("chain_end"), "kept", *([F.lit(None).cast("array<string>").alias("path")] if with_paths else []))
+    ended = state.where("ptr IS NULL").select("node", "scope", F.col("top").alias("root"), F.col("dist").cast("int").alias("real_depth"), "chain_end", F.lit(False).alias("on_ring"), "parent", "kept", *(["path"] if with_paths else []))
+    moving = state.where("ptr IS NOT NULL").select("scope", "node", "ptr", "parent", "kept")
+    heads = state.select("scope", F.col("node").alias("ptr"), F.col("least").alias("root"))
+    # After that many steps every node of a cycle is the pointer of another of its nodes, and no other node is a pointer.
+    ring = moving.select("scope", F.col("ptr").alias("node")).distinct().withColumn("hit", F.lit(True))
+    looping = moving.join(heads, ["scope", "ptr"]).join(ring, ["scope", "node"], "left").select("node", "scope", "root", F.lit(-1).alias("real_depth"), F.lit(CYCLE).alias("chain_end"), F.coalesce("hit", F.lit(False)).alias("on_ring"), "parent", "kept", *([F.lit(None).cast("array<string>").alias("path")] if with_paths else []))
     return ended.unionByName(looping)
 
 
 def hierarchy(nodes: DataFrame, with_paths: bool = False, max_block: int = MAX_BLOCK) -> DataFrame:
-    """Columns node, scope, root, real_depth, chain_end, kept and, on demand, path, for nodes as ``latest_nodes`` gives them.
+    """Columns node, scope, root, real_depth, chain_end, on_ring, parent, kept and, on demand, path, for nodes as ``latest_nodes`` gives them.
 
     ``chain_end`` is ``post``, ``orphan`` or ``cycle``. ``path`` holds as many ids as the node is deep, so ask for it only
     where the paths themselves are wanted.
@@ -173,7 +179,7 @@ def hierarchy(nodes: DataFrame, with_paths: bool = False, max_block: int = MAX_B
     nodes = cut(nodes)
     sizes = nodes.groupBy("scope").count()
     total, large = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.when(F.col("count") > max_block, 1))).first()
-    schema = "node string, scope string, root string, real_depth int, chain_end string, kept " + nodes.schema["kept"].dataType.simpleString() + (", path array<string>" if with_paths else "")
+    schema = "node string, scope string, root string, real_depth int, chain_end string, on_ring boolean, parent string, kept " + nodes.schema["kept"].dataType.simpleString() + (", path array<string>" if with_paths else "")
     usual = nodes
     if large:
         hot = sizes.where(F.col("count") > max_block).select("scope")
@@ -188,3 +194,9 @@ def hierarchy(nodes: DataFrame, with_paths: bool = False, max_block: int = MAX_B
 def descendants(paths: DataFrame) -> DataFrame:
     """All (ancestor, descendant, distance) pairs of a hierarchy with paths, each node being its own at distance 0."""
     return paths.where("path IS NOT NULL").select("scope", F.col("node").alias("descendant"), "real_depth", F.posexplode("path").alias("level", "ancestor")).select("scope", "ancestor", "descendant", (F.col("real_depth") - F.col("level")).alias("distance"))
+
+
+def back_edges(found: DataFrame) -> DataFrame:
+    """For each cycle its least node, the parent link that leads back into it, and how many nodes are on it and lead to it."""
+    cycles = found.where(F.col("chain_end") == CYCLE)
+    return cycles.groupBy("scope", F.col("root").alias("node")).agg(F.max(F.when(F.col("node") == F.col("root"), F.col("parent"))).alias("back_to"), F.count_if("on_ring").alias("ring_nodes"), F.count("*").alias("nodes"))

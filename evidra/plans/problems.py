@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.operators.hierarchy import hierarchy, latest_nodes
+from evidra.operators.hierarchy import back_edges, hierarchy, latest_nodes
 from evidra.operators.nested import KEYS, flatten
 from evidra.operators.snapshots import COMMENT_FIELDS, MORE_FIELDS, POST_FIELDS, snapshot_changes
 from evidra.session import table
@@ -56,7 +56,13 @@ def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(_with_kind("t3_", "scope").alias("thread_id"), _with_kind("t1_", "node").alias("id"), _with_kind("t1_", "root").alias("root_id"), "real_depth", "chain_end", F.array_join("path", "/").alias("path"), F.coalesce("below", F.lit(0)).alias("descendants"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_variants": p4_variants, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy}
+def p5_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cycle with the back edge that closes it, the nodes on it, and all whose chain leads into it."""
+    found = back_edges(_comments(spark, sf_dir, False))
+    return found.select(_with_kind("t3_", "scope").alias("thread_id"), _with_kind("t1_", "node").alias("id"), _with_kind("t1_", "back_to").alias("back_to"), "ring_nodes", "nodes")
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_variants": p4_variants, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_cycles": p5_cycles}
 
 
 def _fields(names: tuple[str, ...]) -> str:
@@ -131,6 +137,10 @@ WALK = f"""
 SQL: dict[str, str] = {
     "p2_found": _SNAPSHOTS,
     "p4_found": _NODES,
+    "p5_cycles": WALK + """
+        SELECT 't3_' || f.thread AS thread_id, 't1_' || list_min(f.ring) AS id, 't1_' || min(h.parent) AS back_to, min(len(f.ring)) AS ring_nodes, count(*) AS nodes
+        FROM found f JOIN linked h ON h.id = list_min(f.ring) WHERE f.ends IS NULL GROUP BY 1, 2
+    """,
     "p5_found": WALK + """
         SELECT 't1_' || id AS id, CASE WHEN ends IS NULL THEN 't1_' || list_min(ring) WHEN ends = 'orphan' THEN 't1_' || top ELSE 't3_' || thread END AS root_id,
         CAST(CASE WHEN ends IS NULL THEN -1 ELSE above END AS INTEGER) AS real_depth, CASE WHEN ends IS NULL THEN 'cycle' WHEN ends = 'orphan' THEN 'orphan' ELSE 'depth' END AS state

@@ -5,11 +5,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evidra.operators.hierarchy import descendants, hierarchy, latest_nodes, walk_parents
+from evidra.operators.hierarchy import back_edges, descendants, hierarchy, latest_nodes, walk_parents
 
 SCHEMA = "row_id long, id string, parent_id string, thread_id string, depth int, fetched_at timestamp, node string, scope string"
 
 
+RINGS: dict[str, set] = {}
+
+
 def brute(rows):
     """Chain of each node by repeated lookup."""
     key = lambda s: None if s is None or not s.strip() else (s.strip().lower().split("_", 1)[1] if s.strip().lower()[:1] == "t" and "_" in s else s.strip().lower()) or None
@@ -31,7 +34,9 @@ def brute(rows):
                 out[k] = (chain[-1], len(chain) - 1, "orphan", list(reversed(chain)))
                 break
             if parent in chain:
-                out[k] = (min(chain[chain.index(parent):]), -1, "cycle", None)
+                ring = chain[chain.index(parent):]
+                out[k] = (min(ring), -1, "cycle", None)
+                RINGS.setdefault(min(ring), set()).update(ring)
                 break
             chain.append(parent)
             at = parent
@@ -60,8 +65,13 @@ def run(spark, rows, max_block, with_paths=True):
 @pytest.mark.parametrize(("seed", "max_block"), [(1, 10_000), (1, 20), (2, 0), (3, 60)])
 def test_like_brute_force_co_located_and_by_doubling(spark, seed, max_block):
     rows = made(seed)
-    got = {r["node"]: (r["root"], r["real_depth"], r["chain_end"], r["path"]) for r in run(spark, rows, max_block).collect()}
-    assert got == brute(rows)
+    found = run(spark, rows, max_block)
+    collected = found.collect()
+    RINGS.clear()
+    assert {r["node"]: (r["root"], r["real_depth"], r["chain_end"], r["path"]) for r in collected} == brute(rows)
+    assert {r["node"] for r in collected if r["on_ring"]} == set().union(*RINGS.values())
+    edges = {r["node"]: r for r in back_edges(found).collect()}
+    assert {k: r["ring_nodes"] for k, r in edges.items()} == {k: len(v) for k, v in RINGS.items()} and all(r["back_to"] in RINGS[k] for k, r in edges.items())
 
 
 def test_deep_chain_and_long_cycle(spark):
@@ -95,5 +105,5 @@ def test_partitioning_does_not_matter(spark):
 
 def test_colouring_walks_without_recursion():
     n = 50_000
-    root, depth, end = walk_parents([f"x{i}" for i in range(n)], [None, *[f"x{i}" for i in range(n - 1)]], ["s"] * n)
-    assert depth[-1] == n - 1 and root[-1] == 0 and end[-1] == "orphan"
+    root, depth, end, ring = walk_parents([f"x{i}" for i in range(n)], [None, *[f"x{i}" for i in range(n - 1)]], ["s"] * n)
+    assert depth[-1] == n - 1 and root[-1] == 0 and end[-1] == "orphan" and not any(ring)
