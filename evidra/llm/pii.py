@@ -158,7 +158,7 @@ def _names(text: str, given_there: bool = True) -> Iterator[tuple[int, int]]:
         low = surname.lower()
         if low in NO_SURNAME or len(surname) < 3 or re.match(rf"\s+{_STREET}\b", text[m.end() :], re.I):
             continue
-        if re.search(r"\b(?:plan|option|vitamin|type|class|grade|hepatitis|appendix|section|step|phase|vs|no)\s+$", before, re.I):
+        if re.search(r"\b(?:is|are|was|letter|letters|column|size|point|figure|table|plan|option|vitamin|type|class|grade|hepatitis|appendix|section|step|phase|vs|no)\s+$", before, re.I):
             continue
         yield m.start(), m.end()
 
