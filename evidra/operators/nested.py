@@ -90,27 +90,33 @@ def _text(value: Any) -> str | None:
 Row = tuple
 
 
-def _more(data: dict, parent: str, pos: int, children: list, tells: tuple[str, ...], depth: float | None, typed: bool) -> Iterator[Row]:
+def _more(data: dict, parent: str, pos: int, children: list, tells: tuple[str, ...], depth: float | None) -> Iterator[Row]:
     """A placeholder and the ids it stands for."""
     own = text_or_empty(data.get("id"))
-    yield (MORE, own, parent, pos, AUTOMATON.shape(data, tells), depth, None, None, None, None, len(children)) if typed else (MORE, own, parent, pos)
+    yield MORE, own, parent, pos, AUTOMATON.shape(data, tells), depth, None, None, None, None, len(children)
     for place, child in enumerate(children):
-        node = MORE_CHILD, text_or_empty(child), own, place
-        yield (*node, AUTOMATON.leaf(child), None, None, None, None, None, None) if typed else node
+        yield MORE_CHILD, text_or_empty(child), own, place, AUTOMATON.leaf(child), None, None, None, None, None, None
 
 
 def version_rows(text: str | None, typed: bool = True) -> Iterator[Row]:
-    """Nodes of a normalized discussion: kind, id, parent and place, and if ``typed`` variant and typed fields."""
+    """Nodes of a normalized discussion: kind, id, parent and place, and if ``typed`` variant and typed fields.
+
+    All nodes are classified; without ``typed`` only their keys are given.
+    """
+    return _version_nodes(text) if typed else (r[:4] for r in _version_nodes(text))
+
+
+def _version_nodes(text: str | None) -> Iterator[Row]:
     doc = unwrap(parse(text))
     for pos, x in enumerate(elements(member(doc, "comments"))):
         x = unwrap(x)
         if isinstance(x, dict):
             own = COMMENT, text_or_empty(x.get("id")), text_or_empty(x.get("parentId")), pos
-            yield (*own, AUTOMATON.shape(x, _VERSION_TELLS), _number(x.get("depth")), _text(x.get("author")), _text(x.get("body")), _number(x.get("score")), _number(x.get("createdUtc")), None) if typed else own
+            yield *own, AUTOMATON.shape(x, _VERSION_TELLS), _number(x.get("depth")), _text(x.get("author")), _text(x.get("body")), _number(x.get("score")), _number(x.get("createdUtc")), None
     for pos, x in enumerate(elements(member(doc, "unresolvedMore"))):
         x = unwrap(x)
         if isinstance(x, dict):
-            yield from _more(x, text_or_empty(x.get("parentId")), pos, elements(x.get("childIds")), _VERSION_MORE, _number(x.get("depth")) if typed else None, typed)
+            yield from _more(x, text_or_empty(x.get("parentId")), pos, elements(x.get("childIds")), _VERSION_MORE, _number(x.get("depth")))
 
 
 def _post_id(listing: Any) -> str:
@@ -126,6 +132,10 @@ def _post_id(listing: Any) -> str:
 
 def raw_rows(text: str | None, typed: bool = True) -> Iterator[Row]:
     """Nodes of the raw thread in an artifact record, in reading order, without recursion; columns as ``version_rows``."""
+    return _raw_nodes(text) if typed else (r[:4] for r in _raw_nodes(text))
+
+
+def _raw_nodes(text: str | None) -> Iterator[Row]:
     listings = elements(member(unwrap(parse(text)), "content"))
     if len(listings) < 2:
         return
@@ -140,12 +150,12 @@ def raw_rows(text: str | None, typed: bool = True) -> Iterator[Row]:
                 own = text_or_empty(data.get("name")) or "t1_" + data["id"]
                 below = elements(member(unwrap(member(unwrap(data.get("replies")), "data")), "children"))
                 node = COMMENT, own, parent, pos
-                yield (*node, AUTOMATON.shape(data, _COMMENT_TELLS) + "/" + AUTOMATON.below(below), level, _text(data.get("author")), _text(data.get("body")), _number(data.get("score")), _number(data.get("created_utc")), None) if typed else node
+                yield *node, AUTOMATON.shape(data, _COMMENT_TELLS) + "/" + AUTOMATON.below(below), level, _text(data.get("author")), _text(data.get("body")), _number(data.get("score")), _number(data.get("created_utc")), None
                 if below:
                     todo.append((enumerate(below), own, level + 1))
                     break
             elif state == MORE:
-                yield from _more(data, parent, pos, elements(data.get("children")), _MORE_TELLS, level, typed)
+                yield from _more(data, parent, pos, elements(data.get("children")), _MORE_TELLS, level)
         else:
             todo.pop()
 
@@ -159,21 +169,19 @@ def _depth(value: Any) -> int | None:
     return int(value) if value is not None and abs(value) < 2**31 else None
 
 
-def _flattener(owner: str, rows: Callable[[str | None, bool], Iterator[Row]], typed: bool):
-    columns = len(_NAMES) if typed else len(KEYS)
-
+def _flattener(owner: str, rows: Callable[[str | None], Iterator[Row]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(out: list[Row]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), _TYPES)], _NAMES[:columns])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), _TYPES)], _NAMES)
 
         out: list[Row] = []
         for b in batches:
             for key, text in zip(b.column("owner_key").to_pylist(), b.column("doc").to_pylist()):
                 seen = set()
-                for r in rows(text, typed):
+                for r in rows(text):
                     if r[:4] not in seen:
                         seen.add(r[:4])
-                        out.append((owner, key, *r[:5], _depth(r[5]), *r[6:]) if typed else (owner, key, *r))
+                        out.append((owner, key, *r[:5], _depth(r[5]), *r[6:]))
                 if len(out) > 20_000:
                     yield made(out)
                     out = []
@@ -184,15 +192,14 @@ def _flattener(owner: str, rows: Callable[[str | None, bool], Iterator[Row]], ty
 
 
 def flatten(df: DataFrame, owner: str, key: str, doc: str, typed: bool = True) -> DataFrame:
-    """The nodes of every document of ``df``: with ``typed`` all columns of NODE_SCHEMA, else the supertype's keys.
+    """The nodes of every document of ``df``: with ``typed`` all columns of NODE_SCHEMA, else the supertype's keys of the same classified nodes.
 
     ``owner`` is ``version`` for normalized discussions, ``observation`` for artifact records with a raw thread.
     """
     rows = {"version": version_rows, "observation": raw_rows}[owner]
-    n = len(_NAMES) if typed else len(KEYS)
-    schema = ", ".join(NODE_SCHEMA.split(", ")[:n])
     documents = df.select(F.col(key).cast("long").alias("owner_key"), F.col(doc).alias("doc")).where("doc IS NOT NULL")
-    return map_arrow(documents, _flattener(owner, rows, typed), schema).dropDuplicates(KEYS)
+    nodes = map_arrow(documents, _flattener(owner, rows), NODE_SCHEMA).dropDuplicates(KEYS)
+    return nodes if typed else nodes.select(*KEYS)
 
 
 #: Columns of the subtype tables beside the keys.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.operators.hierarchy import back_edges, hierarchy, latest_nodes
-from evidra.operators.nested import KEYS, flatten
+from evidra.operators.nested import flatten, subtype_tables
 from evidra.operators.snapshots import COMMENT_FIELDS, MORE_FIELDS, POST_FIELDS, snapshot_changes
 from evidra.session import table
 
@@ -16,19 +16,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.select(F.col("snapshot").alias("snapshot_no"), F.col("key").alias("conversation_id"), "change_kind")
 
 
-def _nodes(spark: SparkSession, sf_dir: str, typed: bool) -> DataFrame:
-    versions = flatten(table(spark, sf_dir, "conversation_versions"), "version", "row_id", "normalized_content", typed)
-    observations = flatten(table(spark, sf_dir, "retrieval_observations"), "observation", "creation_order", "raw_artifact", typed)
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = flatten(table(spark, sf_dir, "conversation_versions"), "version", "row_id", "normalized_content")
+    observations = flatten(table(spark, sf_dir, "retrieval_observations"), "observation", "creation_order", "raw_artifact")
     return versions.unionByName(observations)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nodes(spark, sf_dir, False).select(*KEYS)
+    return subtype_tables(_nodes(spark, sf_dir))["node"]
 
 
 def p4_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many nodes each structural variant has, per owner and kind."""
-    return _nodes(spark, sf_dir, True).groupBy("owner", "node_kind", "variant").agg(F.count("*").alias("nodes"))
+    return _nodes(spark, sf_dir).groupBy("owner", "node_kind", "variant").agg(F.count("*").alias("nodes"))
 
 
 def _comments(spark: SparkSession, sf_dir: str, with_paths: bool) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 from evidra.functions.jsontext import INVALID, _iterative, parse, unwrap
+from evidra.operators import nested
 from evidra.operators.nested import KEYS, flatten, raw_rows, subtype_tables, version_rows, write_variants
 
 VERSION = {"post": {"id": "t3_p"}, "comments": [{"id": "c1", "parentId": "t3_p"}, 7, {"parentId": "c1"}, {"id": None, "parentId": 4}], "unresolvedMore": [{"id": "m", "parentId": "c1", "childIds": ["x", None, 3]}, {"childIds": None}]}
@@ -85,3 +86,11 @@ def test_json_text():
         assert parse(bad) is INVALID
     assert unwrap('"[1]"') == [1] and unwrap("3") == "3" and unwrap("plain") == "plain"
     assert parse("[1.0, 1e2, 100, 0.10, -0.0]", True) == [1, 100, 100, {"number": "1e-1"}, 0]
+
+
+def test_keys_come_from_classified_nodes(monkeypatch):
+    seen = []
+    monkeypatch.setattr(nested.AUTOMATON, "shape", lambda value, fields: seen.append(value) or "x")
+    doc = raw(t1("a", below(t1("b"))), {"kind": "more", "data": {"id": "m", "children": ["q"]}})
+    assert len(list(version_rows(json.dumps(VERSION), False))) == 8 and len(seen) == 5
+    assert len(list(raw_rows(json.dumps(doc), False))) == 4 and len(seen) == 8
