@@ -1,10 +1,15 @@
 """Deeply nested discussion records to flat tables that keep parent and child links.
 
-Every JSON node gets a state from a bottom-up tree automaton: the state of an object follows from its fields, the states of
-their values and those of the elements below it, which tells the variants of a shape apart (a comment with comments or
-placeholders below, with an empty string for replies, without a body, a placeholder with or without children, and so on).
-The state routes a node to the typed table of its variant; a common supertype table keeps owner, kind, id, parent and place
-of every node.
+Every node gets a state from a bottom-up tree automaton: the state of a node follows from its kind, the states of its telling
+fields, and the set of the states of the nodes below it, which are found first. So two nodes share a state only if they are
+alike down to the leaves, and a difference at any depth gives another state to all above it. In raw threads the nodes below
+are the nested replies, in normalized discussions those whose parent reference names the node. The state routes a node to
+the typed table of its kind and, in it, to its variant; a common supertype table keeps owner, kind, id, parent and place of
+every node.
+
+A state is written as kind and digest, as spelled-out states grow with the tree below. How often a state stands below and in
+which order does not count. The column ``variant`` spells out the topmost level. Parent references that run in a cycle have
+no leaves: nodes on or above one take the mark ``ring`` in place of the states that cannot be found.
 
 Defined cases: a value that is null or no JSON gives no rows; a JSON string that holds JSON counts as that JSON; elements
 of other types or kinds are no rows, nor is anything below them, yet they count in the places of the others; missing ids and
@@ -14,7 +19,10 @@ owner, kind, id, parent and place. Documents may nest to any depth.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from hashlib import blake2b
 from typing import Any
 
 import pyarrow as pa
@@ -25,14 +33,13 @@ from evidra.functions.jsontext import elements, member, parse, text_or_empty, un
 from evidra.session import map_arrow
 
 COMMENT, MORE, MORE_CHILD = "comment", "more", "more_child"
-NODE_SCHEMA = "owner string, owner_key long, node_kind string, node_id string, parent_id string, pos int, variant string, depth int, author string, body string, score double, created_utc double, child_count long"
+NODE_SCHEMA = "owner string, owner_key long, node_kind string, node_id string, parent_id string, pos int, variant string, depth int, author string, body string, score double, created_utc double, child_count long, state string"
 
 
 class TreeAutomaton:
-    """States of JSON values from the leaves up: null, flag, number, text, empty text, and shapes of arrays and objects.
+    """States from the leaves up: null, flag, number, text, blank and so on for values, then those of nodes.
 
-    A transition takes the kind of value and the states of the fields that tell shapes apart. The finite set of states is
-    (type, mark): the mark of an object is the union of what its own fields say, so a state never depends on depth.
+    A node's transition takes its kind, the states of the fields that tell shapes apart, and the set of states below it.
     """
 
     def leaf(self, value: Any) -> str:
@@ -53,7 +60,7 @@ class TreeAutomaton:
         return "/".join(f"{f}:{self.leaf(value[f]) if f in value else 'absent'}" for f in fields)
 
     def below(self, children: list) -> str:
-        """The set of states among the elements below, which is all that a parent's state takes from them."""
+        """The kinds of the elements directly below, as they stand in the variant."""
         states = {self.raw(unwrap(x))[0] or "other" for x in children}
         return "below:" + ("+".join(sorted(states)) or "none")
 
@@ -69,7 +76,15 @@ class TreeAutomaton:
         return None, {}
 
 
+    @staticmethod
+    @lru_cache(1 << 16)
+    def state(kind: str, own: str, below: frozenset[str]) -> str:
+        """The transition of a node: its kind, its own part and the states of the nodes below."""
+        return f"{kind}:{blake2b(chr(0).join((own, *sorted(below))).encode(), digest_size=8).hexdigest()}"
+
+
 AUTOMATON = TreeAutomaton()
+RING = "ring"
 _COMMENT_TELLS, _MORE_TELLS = ("author", "body", "score", "replies"), ("id", "count", "children")
 _VERSION_TELLS, _VERSION_MORE = ("author", "body", "score", "parentId"), ("id", "count", "childIds")
 
@@ -90,12 +105,15 @@ def _text(value: Any) -> str | None:
 Row = tuple
 
 
-def _more(data: dict, parent: str, pos: int, children: list, tells: tuple[str, ...], depth: float | None) -> Iterator[Row]:
+def _more(data: dict, parent: str, pos: int, children: list, tells: tuple[str, ...], depth: float | None) -> list[Row]:
     """A placeholder and the ids it stands for."""
     own = text_or_empty(data.get("id"))
-    yield MORE, own, parent, pos, AUTOMATON.shape(data, tells), depth, None, None, None, None, len(children)
+    ids: list[Row] = []
     for place, child in enumerate(children):
-        yield MORE_CHILD, text_or_empty(child), own, place, AUTOMATON.leaf(child), None, None, None, None, None, None
+        leaf = AUTOMATON.leaf(child)
+        ids.append((MORE_CHILD, text_or_empty(child), own, place, leaf, None, None, None, None, None, None, AUTOMATON.state(MORE_CHILD, leaf, frozenset())))
+    shape = AUTOMATON.shape(data, tells)
+    return [(MORE, own, parent, pos, shape, depth, None, None, None, None, len(children), AUTOMATON.state(MORE, shape, frozenset(x[-1] for x in ids))), *ids]
 
 
 def version_rows(text: str | None, typed: bool = True) -> Iterator[Row]:
@@ -106,17 +124,57 @@ def version_rows(text: str | None, typed: bool = True) -> Iterator[Row]:
     return _version_nodes(text) if typed else (r[:4] for r in _version_nodes(text))
 
 
+def _reference(text: str) -> str:
+    """An id or parent reference of a comment without letter case and kind prefix."""
+    return text.strip().lower().removeprefix("t1_")
+
+
+def _states_by_links(comments: list[Row], below: dict[str, set[str]]) -> list[str]:
+    """States of comments that are linked by parent reference, from the leaves up; ``below`` holds the states already known under an id.
+
+    Comments of one id share what is below it. An id is ready once all comments that name it as parent have their states.
+    """
+    groups, waiting = defaultdict(list), defaultdict(int)
+    for i, (_, own, parent, *_) in enumerate(comments):
+        # A comment without an id can be named by none.
+        groups[_reference(own) or i].append(i)
+        waiting[_reference(parent)] += 1
+    states = [""] * len(comments)
+    ready = [k for k in groups if not waiting.get(k)]
+    while ready:
+        key = ready.pop()
+        for i in groups.pop(key):
+            states[i] = AUTOMATON.state(COMMENT, comments[i][4], frozenset(below.get(key, ())))
+            above = _reference(comments[i][2])
+            below[above].add(states[i])
+            waiting[above] -= 1
+            if not waiting[above] and above in groups:
+                ready.append(above)
+    for key, members in groups.items():
+        for i in members:
+            states[i] = AUTOMATON.state(COMMENT, comments[i][4], frozenset(below.get(key, ())) | {RING})
+    return states
+
+
 def _version_nodes(text: str | None) -> Iterator[Row]:
     doc = unwrap(parse(text))
+    comments: list[Row] = []
     for pos, x in enumerate(elements(member(doc, "comments"))):
         x = unwrap(x)
         if isinstance(x, dict):
             own = COMMENT, text_or_empty(x.get("id")), text_or_empty(x.get("parentId")), pos
-            yield *own, AUTOMATON.shape(x, _VERSION_TELLS), _number(x.get("depth")), _text(x.get("author")), _text(x.get("body")), _number(x.get("score")), _number(x.get("createdUtc")), None
+            comments.append((*own, AUTOMATON.shape(x, _VERSION_TELLS), _number(x.get("depth")), _text(x.get("author")), _text(x.get("body")), _number(x.get("score")), _number(x.get("createdUtc")), None))
+    rest: list[Row] = []
+    below: dict[str, set[str]] = defaultdict(set)
     for pos, x in enumerate(elements(member(doc, "unresolvedMore"))):
         x = unwrap(x)
         if isinstance(x, dict):
-            yield from _more(x, text_or_empty(x.get("parentId")), pos, elements(x.get("childIds")), _VERSION_MORE, _number(x.get("depth")))
+            more = _more(x, text_or_empty(x.get("parentId")), pos, elements(x.get("childIds")), _VERSION_MORE, _number(x.get("depth")))
+            below[_reference(more[0][2])].add(more[0][-1])
+            rest += more
+    for row, state in zip(comments, _states_by_links(comments, below)):
+        yield *row, state
+    yield from rest
 
 
 def _post_id(listing: Any) -> str:
@@ -140,27 +198,34 @@ def _raw_nodes(text: str | None) -> Iterator[Row]:
     if len(listings) < 2:
         return
     top = elements(member(unwrap(member(unwrap(listings[1]), "data")), "children"))
-    todo = [(enumerate(top), _post_id(unwrap(listings[0])), 0)]
+    out: list[Row] = []
+    # Of each open comment: what is left below it, its id and level, its place in ``out``, and the states found below.
+    todo: list[tuple] = [(enumerate(top), _post_id(unwrap(listings[0])), 0, -1, set())]
     while todo:
-        rest, parent, level = todo[-1]
+        rest, parent, level, at, states = todo[-1]
         for pos, x in rest:
             x = unwrap(x)
-            state, data = AUTOMATON.raw(x)
-            if state == COMMENT:
+            kind, data = AUTOMATON.raw(x)
+            if kind == COMMENT:
                 own = text_or_empty(data.get("name")) or "t1_" + data["id"]
                 below = elements(member(unwrap(member(unwrap(data.get("replies")), "data")), "children"))
-                node = COMMENT, own, parent, pos
-                yield *node, AUTOMATON.shape(data, _COMMENT_TELLS) + "/" + AUTOMATON.below(below), level, _text(data.get("author")), _text(data.get("body")), _number(data.get("score")), _number(data.get("created_utc")), None
-                if below:
-                    todo.append((enumerate(below), own, level + 1))
-                    break
-            elif state == MORE:
-                yield from _more(data, parent, pos, elements(data.get("children")), _MORE_TELLS, level)
+                out.append((COMMENT, own, parent, pos, AUTOMATON.shape(data, _COMMENT_TELLS) + "/" + AUTOMATON.below(below), level, _text(data.get("author")), _text(data.get("body")), _number(data.get("score")), _number(data.get("created_utc")), None))
+                todo.append((enumerate(below), own, level + 1, len(out) - 1, set()))
+                break
+            if kind == MORE:
+                more = _more(data, parent, pos, elements(data.get("children")), _MORE_TELLS, level)
+                states.add(more[0][-1])
+                out += more
         else:
             todo.pop()
+            if todo:
+                state = AUTOMATON.state(COMMENT, out[at][4], frozenset(states))
+                out[at] = (*out[at], state)
+                todo[-1][-1].add(state)
+    yield from out
 
 
-_TYPES = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())
+_TYPES = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.string())
 _NAMES = [x.split()[0] for x in NODE_SCHEMA.split(", ")]
 KEYS = _NAMES[:6]
 
@@ -198,21 +263,25 @@ def flatten(df: DataFrame, owner: str, key: str, doc: str, typed: bool = True) -
     """
     rows = {"version": version_rows, "observation": raw_rows}[owner]
     documents = df.select(F.col(key).cast("long").alias("owner_key"), F.col(doc).alias("doc")).where("doc IS NOT NULL")
-    nodes = map_arrow(documents, _flattener(owner, rows), NODE_SCHEMA).dropDuplicates(KEYS)
+    nodes = map_arrow(documents, _flattener(owner, rows), NODE_SCHEMA)
+    rest = [c for c in _NAMES if c not in KEYS]
+    # Repeated deliveries may differ beside the keys: the same one is taken each time.
+    nodes = nodes.groupBy(*KEYS).agg(F.min(F.struct("state", *(c for c in rest if c != "state"))).alias("node")).select(*KEYS, *(f"node.{c}" for c in rest))
     return nodes if typed else nodes.select(*KEYS)
 
 
 #: Columns of the subtype tables beside the keys.
-SUBTYPES = {COMMENT: ("variant", "depth", "author", "body", "score", "created_utc"), MORE: ("variant", "depth", "child_count"), MORE_CHILD: ("variant",)}
+SUBTYPES = {COMMENT: ("variant", "state", "depth", "author", "body", "score", "created_utc"), MORE: ("variant", "state", "depth", "child_count"), MORE_CHILD: ("variant", "state")}
 
 
 def subtype_tables(nodes: DataFrame) -> dict[str, DataFrame]:
-    """The supertype table ``node`` and one typed table per kind, all with the same keys; variants are values of ``variant``."""
-    parts = {kind: nodes.where(F.col("node_kind") == kind).select(*KEYS, *columns) for kind, columns in SUBTYPES.items()}
+    """The supertype table ``node`` and the typed tables to which the states route, all with the same keys; ``state`` tells their variants apart."""
+    routed = F.substring_index("state", ":", 1)
+    parts = {kind: nodes.where(routed == kind).select(*KEYS, *columns) for kind, columns in SUBTYPES.items()}
     return {"node": nodes.select(*KEYS)} | parts
 
 
 def write_variants(nodes: DataFrame, path: str) -> None:
-    """The subtype tables as parquet, one folder per kind and within it one per variant; keys and parent links in each."""
+    """The subtype tables as parquet, one folder per kind and within it one per variant; state, keys and parent links in each."""
     for kind, part in subtype_tables(nodes).items():
         part.write.partitionBy(*(["variant"] if "variant" in part.columns else [])).parquet(f"{path}/{kind}")

@@ -26,9 +26,24 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subtype_tables(_nodes(spark, sf_dir))["node"]
 
 
+def p4_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed table of comments of both sources."""
+    return subtype_tables(_nodes(spark, sf_dir))["comment"]
+
+
+def p4_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed table of placeholders of both sources."""
+    return subtype_tables(_nodes(spark, sf_dir))["more"]
+
+
+def p4_child_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed table of the ids that placeholders stand for."""
+    return subtype_tables(_nodes(spark, sf_dir))["more_child"]
+
+
 def p4_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many nodes each structural variant has, per owner and kind."""
-    return _nodes(spark, sf_dir).groupBy("owner", "node_kind", "variant").agg(F.count("*").alias("nodes"))
+    """How many nodes each state, that is each structural variant down to the leaves, has, per owner and kind."""
+    return _nodes(spark, sf_dir).groupBy("owner", "node_kind", "variant", "state").agg(F.count("*").alias("nodes"))
 
 
 def _comments(spark: SparkSession, sf_dir: str, with_paths: bool) -> DataFrame:
@@ -62,7 +77,7 @@ def p5_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(_with_kind("t3_", "scope").alias("thread_id"), _with_kind("t1_", "node").alias("id"), _with_kind("t1_", "back_to").alias("back_to"), "ring_nodes", "nodes")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_variants": p4_variants, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_cycles": p5_cycles}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_comments": p4_comments, "p4_placeholders": p4_placeholders, "p4_child_ids": p4_child_ids, "p4_variants": p4_variants, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_cycles": p5_cycles}
 
 
 def _fields(names: tuple[str, ...]) -> str:

@@ -5,6 +5,8 @@ import json
 from evidra.functions.jsontext import INVALID, _iterative, parse, unwrap
 from evidra.operators import nested
 from evidra.operators.nested import KEYS, flatten, raw_rows, subtype_tables, version_rows, write_variants
+from evidra.plans import problems
+from tests.oracle import DATA
 
 VERSION = {"post": {"id": "t3_p"}, "comments": [{"id": "c1", "parentId": "t3_p"}, 7, {"parentId": "c1"}, {"id": None, "parentId": 4}], "unresolvedMore": [{"id": "m", "parentId": "c1", "childIds": ["x", None, 3]}, {"childIds": None}]}
 
@@ -94,3 +96,28 @@ def test_keys_come_from_classified_nodes(monkeypatch):
     doc = raw(t1("a", below(t1("b"))), {"kind": "more", "data": {"id": "m", "children": ["q"]}})
     assert len(list(version_rows(json.dumps(VERSION), False))) == 8 and len(seen) == 5
     assert len(list(raw_rows(json.dumps(doc), False))) == 4 and len(seen) == 8
+
+
+def test_a_difference_at_any_depth_gives_another_state():
+    def states(leaf):
+        chain = t1("a", below(t1("b", below(t1("c", below(leaf))))))
+        return [r[-1] for r in raw_rows(json.dumps(raw(chain)))]
+
+    one, same, other = states(t1("d", body="x")), states(t1("e", body="y")), states(t1("d", body=None))
+    assert one == same and all(x != y for x, y in zip(one, other))
+    links = lambda body: [{"id": "t1_a", "parentId": "t3_p"}, {"id": "t1_b", "parentId": "T1_a"}, {"id": "t1_c", "parentId": "t1_b", "body": body}]
+    of = lambda doc: [r[-1] for r in version_rows(json.dumps(doc))]
+    one, other = of({"comments": links("x")}), of({"comments": links(None)})
+    assert all(x != y for x, y in zip(one, other)) and len(set(one)) == 3
+    assert of({"comments": links("x"), "unresolvedMore": [{"id": "m", "parentId": "t1_c", "childIds": ["q"]}]})[0] != one[0]
+    ring = of({"comments": [{"id": "t1_a", "parentId": "t1_b"}, {"id": "t1_b", "parentId": "t1_a"}, {"parentId": ""}, {"id": "", "parentId": "t1_b"}]})
+    assert len(ring) == 4 and all(ring)
+
+
+def test_typed_tables_are_queries(spark):
+    tables = {kind: problems.QUERIES[name](spark, DATA) for kind, name in (("comment", "p4_comments"), ("more", "p4_placeholders"), ("more_child", "p4_child_ids"))}
+    rows = [tuple(r[c] for c in KEYS) for t in tables.values() for r in t.collect()]
+    assert sorted(rows) == sorted(map(tuple, problems.p4_found(spark, DATA).collect())) and len(rows) == len(set(rows))
+    for kind, t in tables.items():
+        assert t.columns == [*KEYS, *nested.SUBTYPES[kind]] and {r["owner"] for r in t.select("owner").distinct().collect()} == {"version", "observation"}
+        assert t.where(f"state IS NULL OR state NOT LIKE '{kind}:%'").isEmpty()
