@@ -196,6 +196,36 @@ def descendants(paths: DataFrame) -> DataFrame:
     return paths.where("path IS NOT NULL").select("scope", F.col("node").alias("descendant"), "real_depth", F.posexplode("path").alias("level", "ancestor")).select("scope", "ancestor", "descendant", (F.col("real_depth") - F.col("level")).alias("distance"))
 
 
+def with_rings_as_heads(found: DataFrame) -> DataFrame:
+    """``found`` with a path for every node: of cycles, each node on the ring heads the tree below it, and paths start there."""
+    cycles = found.where(F.col("chain_end") == CYCLE)
+    trees = hierarchy(cycles.select("node", F.when(~F.col("on_ring"), F.col("parent")).alias("parent"), "scope", "kept"), True).select("scope", "node", "path")
+    return found.where(F.col("chain_end") != CYCLE).unionByName(cycles.drop("path").join(trees, ["scope", "node"]))
+
+
+def descendant_counts(whole: DataFrame) -> DataFrame:
+    """Columns scope, node, below, for nodes with any descendants, of what ``with_rings_as_heads`` gives. A node on a ring has all others of its component below it."""
+    above = whole.select("scope", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("node")).groupBy("scope", "node").agg(F.count("*").alias("below"))
+    cycles = whole.where(F.col("chain_end") == CYCLE)
+    sizes = cycles.groupBy("scope", "root").agg((F.count("*") - 1).alias("below"))
+    ring = cycles.where("on_ring").select("scope", "root", "node")
+    return above.join(ring, ["scope", "node"], "left_anti").unionByName(ring.join(sizes, ["scope", "root"]).select("scope", "node", "below"))
+
+
+def all_descendants(whole: DataFrame) -> DataFrame:
+    """(scope, ancestor, descendant, distance) for every node and each other node below it, rings included, by the shortest way down."""
+    pairs = descendants(whole.withColumn("real_depth", F.size("path") - 1)).where("distance > 0")
+    cycles = whole.where(F.col("chain_end") == CYCLE)
+    # Places on a ring, counted down from its least node, whose own parent link closes the ring.
+    ring = cycles.where("on_ring").select("node", F.when(F.col("node") != F.col("root"), F.col("parent")).alias("parent"), "scope", "kept")
+    places = hierarchy(ring).select("scope", "root", F.col("node").alias("entry"), F.col("real_depth").alias("place"))
+    length = places.groupBy("scope", "root").agg(F.count("*").alias("length"))
+    entries = cycles.select("scope", "root", F.col("node").alias("descendant"), F.col("path")[0].alias("entry"), (F.size("path") - 1).alias("level")).join(places, ["scope", "root", "entry"])
+    others = places.select("scope", "root", F.col("entry").alias("ancestor"), F.col("place").alias("from")).join(length, ["scope", "root"])
+    around = entries.join(others, ["scope", "root"]).where("ancestor <> entry")
+    return pairs.unionByName(around.select("scope", "ancestor", "descendant", (F.col("level") + F.expr("pmod(place - `from`, length)")).cast("int").alias("distance")))
+
+
 def back_edges(found: DataFrame) -> DataFrame:
     """For each cycle its least node, the parent link that leads back into it, and how many nodes are on it and lead to it."""
     cycles = found.where(F.col("chain_end") == CYCLE)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.operators.hierarchy import back_edges, hierarchy, latest_nodes
+from evidra.operators.hierarchy import all_descendants, back_edges, descendant_counts, hierarchy, latest_nodes, with_rings_as_heads
 from evidra.operators.nested import flatten, subtype_tables
 from evidra.operators.snapshots import COMMENT_FIELDS, MORE_FIELDS, POST_FIELDS, snapshot_changes
 from evidra.session import table
@@ -64,20 +64,25 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every comment with root, depth, path and number of descendants."""
-    found = _comments(spark, sf_dir, True)
-    above = found.where("real_depth > 0").select("scope", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("node")).groupBy("scope", "node").agg(F.count("*").alias("below"))
-    joined = found.join(above, ["scope", "node"], "left")
+    """Every comment with root, depth, path and number of descendants; below a cycle, paths start at the ring."""
+    whole = with_rings_as_heads(_comments(spark, sf_dir, True))
+    joined = whole.join(descendant_counts(whole), ["scope", "node"], "left")
     return joined.select(_with_kind("t3_", "scope").alias("thread_id"), _with_kind("t1_", "node").alias("id"), _with_kind("t1_", "root").alias("root_id"), "real_depth", "chain_end", F.array_join("path", "/").alias("path"), F.coalesce("below", F.lit(0)).alias("descendants"))
 
 
+def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every comment with each comment below it and how far below."""
+    pairs = all_descendants(with_rings_as_heads(_comments(spark, sf_dir, True)))
+    return pairs.select(_with_kind("t3_", "scope").alias("thread_id"), _with_kind("t1_", "ancestor").alias("ancestor_id"), _with_kind("t1_", "descendant").alias("descendant_id"), "distance")
+
+
 def p5_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each cycle with the back edge that closes it, the nodes on it, and all whose chain leads into it."""
     found = back_edges(_comments(spark, sf_dir, False))
     return found.select(_with_kind("t3_", "scope").alias("thread_id"), _with_kind("t1_", "node").alias("id"), _with_kind("t1_", "back_to").alias("back_to"), "ring_nodes", "nodes")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_comments": p4_comments, "p4_placeholders": p4_placeholders, "p4_child_ids": p4_child_ids, "p4_variants": p4_variants, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_cycles": p5_cycles}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_comments": p4_comments, "p4_placeholders": p4_placeholders, "p4_child_ids": p4_child_ids, "p4_variants": p4_variants, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_descendants": p5_descendants, "p5_cycles": p5_cycles}
 
 
 def _fields(names: tuple[str, ...]) -> str:

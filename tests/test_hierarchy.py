@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidra.operators.hierarchy import back_edges, descendants, hierarchy, latest_nodes, walk_parents
+from evidra.plans import problems
 
 SCHEMA = "row_id long, id string, parent_id string, thread_id string, depth int, fetched_at timestamp, node string, scope string"
 
@@ -107,3 +108,20 @@ def test_colouring_walks_without_recursion():
     n = 50_000
     root, depth, end, ring = walk_parents([f"x{i}" for i in range(n)], [None, *[f"x{i}" for i in range(n - 1)]], ["s"] * n)
     assert depth[-1] == n - 1 and root[-1] == 0 and end[-1] == "orphan" and not any(ring)
+
+
+def test_rings_head_their_trees(spark, tmp_path):
+    up = {"a": "b", "b": "c", "c": "a", "d": "b", "e": "d", "f": "e", "s": "s", "t": "s", "p": "x", "q": "p", "o": "gone"}
+    rows = [(i, f"t1_{k}", f"t3_{v}" if v == "x" else f"t1_{v}", "t3_x", None, None, "", "") for i, (k, v) in enumerate(up.items())]
+    expected = {}
+    for k in up:
+        at, far = up[k], 1
+        while at in up and (at, k) not in expected and at != k:
+            expected[at, k] = far
+            at, far = up[at], far + 1
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "deep_comments.parquet"))
+    pairs = problems.p5_descendants(spark, str(tmp_path)).collect()
+    assert len(pairs) == len(expected) and {(r["ancestor_id"][3:], r["descendant_id"][3:]): r["distance"] for r in pairs} == expected
+    got = {r["id"][3:]: r for r in problems.p5_hierarchy(spark, str(tmp_path)).collect()}
+    assert {k: r["descendants"] for k, r in got.items()} == {k: sum(x == k for x, _ in expected) for k in up}
+    assert got["f"]["path"] == "b/d/e/f" and got["a"]["path"] == "a" and got["q"]["path"] == "p/q" and got["f"]["real_depth"] == -1
