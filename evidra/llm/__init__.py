@@ -17,3 +17,18 @@ def portions(texts: list, most: int = PORTION) -> Iterator[tuple[int, int]]:
         size += n
     if start < len(texts):
         yield start, len(texts)
+
+
+class Remembered(dict):
+    """Results by text, forgotten all at once when the texts kept make up more than ``most`` characters."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = self.left = most
+
+    def keep(self, key: str, value, size: int) -> None:
+        self.left -= size + 50
+        if self.left < 0:
+            self.clear()
+            self.left = self.most - size
+        self[key] = value
