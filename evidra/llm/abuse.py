@@ -21,6 +21,7 @@ import random
 import re
 import unicodedata
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import numpy as np
@@ -29,15 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm import portions
-from evidra.llm.labelled import sentences
+from evidra.llm.labelled import sentences, varied
 from evidra.session import map_arrow
 
-MOST_SENTENCES, LANDMARKS, BLOCK = 8000, 1000, 200
+#: Bounds of the training data: sentences in all, of them harmless ones by origin, variations of a reviewed sentence.
+MOST_SENTENCES, MOST_BY_ORIGIN, VARIATIONS = 10_000, 3000, 10
+LANDMARKS, BLOCK, THREADS = 2000, 200, 4
 #: Four symbols within six places, and the factor for each place left out.
 SPAN, DECAY = 6, 0.6
 WINDOW, HOP = 80, 40
 #: A score must lie this far on the harmful side of the machine's own border to count as above zero.
-LOWEST, MARGIN = -10.0, 0.2
+LOWEST, MARGIN = -10.0, 0.1
 PATTERNS = [(o, DECAY ** (o[-1] - 3)) for o in ((a, b, c) for a, b, c in itertools.combinations(range(1, SPAN), 3))]
 _SPACE, _MASK, _DIGIT, _END, _QUOTE, _OTHER, _DROP = 0, 27, 28, 29, 30, 31, 32
 
@@ -88,7 +91,7 @@ def _shift(x: np.ndarray, by: int, fill=0) -> np.ndarray:
     """x[i + by], with ``fill`` beyond the ends."""
     out = np.full_like(x, fill)
     if by >= 0:
-        out[: len(x) - by] = x[by:]
+        out[: max(0, len(x) - by)] = x[by:]
     else:
         out[-by:] = x[:by]
     return out
@@ -214,26 +217,30 @@ def _split(text: str) -> list[str]:
 
 
 @lru_cache(4)
-def trained(examples: tuple[tuple[str, int], ...]) -> Machine:
+def trained(examples: tuple[tuple[str, int], ...], harmless: tuple[str, ...] = ()) -> Machine:
     """The machine of these examples, trained once per process; training has no chance in it."""
-    return train(list(examples))
+    return train(list(examples), list(harmless))
 
 
-def train(examples: list[tuple[str, int]], seed: int = 5) -> Machine:
-    """A machine from the labelled sentences and the reviewed examples.
+def train(examples: list[tuple[str, int]], harmless_texts: list[str] | None = None, seed: int = 5) -> Machine:
+    """A machine from the own labelled sentences, the reviewed examples with variations, and sentences of texts that are
+    harmless by their origin (up to MOST_BY_ORIGIN of them).
 
     An example is a text: all sentences of a harmless one are harmless. Of a harmful one only the worst is taken to be
     harmful, as judged by a machine without it.
     """
     own, known = list(dict.fromkeys(sentences())), {}
-    harmless = [(p, 0) for t, label in examples if not label for p in _split(t)]
+    by_origin = list(dict.fromkeys((p, 0) for t in harmless_texts or () for p in _split(t) if len(p) < 400))
+    random.Random(seed).shuffle(by_origin)
+    own += by_origin[:MOST_BY_ORIGIN]
+    more = lambda rows: [v for t, label in dict.fromkeys(rows) for v in varied(t, label, VARIATIONS)]
+    harmless = more((p, 0) for t, label in examples if not label for p in _split(t))
     harmful = [_split(t) for t, label in examples if label]
     single = [(p[0], 1) for p in harmful if len(p) == 1]
-    if not any(len(p) > 1 for p in harmful):
-        return _fit([*own, *harmless, *single], seed, known)
-    first = _fit([*own, *harmless, *single], seed, known, LANDMARKS // 3)
-    worst = [(parts[int(np.argmax(first.scores(parts)))], 1) for parts in harmful if parts]
-    return _fit([*own, *harmless, *worst], seed, known)
+    if any(len(p) > 1 for p in harmful):
+        first = _fit([*harmless, *more(single), *own], seed, known, LANDMARKS // 4)
+        single = [(parts[int(np.argmax(first.scores(parts)))], 1) for parts in harmful if parts]
+    return _fit([*harmless, *more(single), *own], seed, known)
 
 
 def _fit(data: list[tuple[str, int]], seed: int, known: Features | None = None, landmarks: int = LANDMARKS, ridge: float = 1.0) -> Machine:
@@ -265,16 +272,22 @@ def _fit(data: list[tuple[str, int]], seed: int, known: Features | None = None,
             table[place[a:b], k] = value[a:b]
         return table
 
-    kernel = np.zeros((len(data), len(chosen)))
+    kernel = np.zeros((len(data), len(chosen)), np.float32)
     for first in range(0, len(chosen), BLOCK):
         table = block(first)
-        for i, (a, b) in enumerate(zip(starts, ends)):
-            kernel[i, first : first + table.shape[1]] = value[a:b] @ table[place[a:b]]
-    among = kernel[chosen]
+
+        def part(rows: range) -> None:
+            for i in rows:
+                a, b = starts[i], ends[i]
+                kernel[i, first : first + table.shape[1]] = value[a:b] @ table.take(place[a:b], axis=0)
+
+        with ThreadPoolExecutor(THREADS) as pool:
+            list(pool.map(part, (range(k, len(data), THREADS) for k in range(THREADS))))
+    among = kernel[chosen].astype(float)
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     good = values > 1e-6 * values[-1]
-    whiten = vectors[:, good] / np.sqrt(values[good])
-    z = np.c_[kernel @ whiten, np.ones(len(data))]
+    whiten = (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
+    z = np.c_[kernel @ whiten, np.ones(len(data), np.float32)]
     del kernel
     # Newton steps for ridge / 2 |w|^2 + sum of squared hinge losses; the constant is not penalised.
     w = np.zeros(z.shape[1])
@@ -283,7 +296,7 @@ def _fit(data: list[tuple[str, int]], seed: int, known: Features | None = None,
     for _ in range(40):
         active = y * (z @ w) < 1
         za = z[active]
-        new = np.linalg.solve(np.diag(penalty) + za.T @ za, za.T @ y[active])
+        new = np.linalg.solve(np.diag(penalty) + za.T @ za, za.T @ y[active].astype(np.float32))
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
@@ -305,9 +318,9 @@ def _scoring(shared):
     return run
 
 
-def score_texts(df: DataFrame, key: str, text: str, examples: list[tuple[str, int]]) -> DataFrame:
-    """The key with ``score``; above zero is to be reviewed. ``examples`` are reviewed sentences with labels, a small table."""
-    shared = df.sparkSession.sparkContext.broadcast(trained(tuple(examples)))  # four megabytes, whatever the data
+def score_texts(df: DataFrame, key: str, text: str, examples: list[tuple[str, int]], harmless: list[str] | None = None) -> DataFrame:
+    """The key with ``score``; above zero is to be reviewed. ``examples`` are reviewed sentences with labels, a small table, ``harmless`` a bounded sample of texts whose origin labels them."""
+    shared = df.sparkSession.sparkContext.broadcast(trained(tuple(examples), tuple(harmless or ())))  # four megabytes, whatever the data
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return map_arrow(rows, _scoring(shared), f"key {kind}, score double").withColumnRenamed("key", key)
