@@ -50,8 +50,27 @@ someone nobody everybody everyone nothing something before after since until whi
 now today tomorrow yesterday soon later first second third last next der die das und oder aber ist sind war ein eine wir ihr sie er es ich du nicht mit
 für von zu im am bei nach le la les un une des et ou mais est sont nous vous ils elle il je tu ne pas avec pour de du au el los las uno una y o pero es son
 nosotros no con para del al que w z na do i jest są nie się dla od po ve bir bu şu ile için из на в и не что для merci gracias danke dzięki obrigado cc re fwd via app pro plus one two api crm
-stay thinks approved for who release forms sheets cloud
+zur zum vom beim ohne wenn dass ob wie wer wo
 """.split())
 
 #: Endings that surnames of many languages have; a lower-case word needs one to pass for a surname.
-SURNAME_ENDING = r"(?:ova|eva|ski|ska|sky|owicz|ewicz|wicz|sson|sen|etti|elli|ini|ino|ides|idis|poulos|worthy|kamp|mann|mannel|berg|stein|bach|bale|dale|ford|wood|field|mont|zano|aruma|mura|moto|yama|randt|brandt|voss|øy|oy|enko|ainek|czyk|escu|oglu|oğlu|ián|yan|sch|ham|well|gård|gaard|quist|ström|strom|lund|dóttir|dottir|ović|ovic|ić|ez|eira|eiro|ovich|evich|smith|jones|nguyen|patel|singh|khan|kim|ова|ева|ов|ев|ин|ина|ский|ская)"
+SURNAME_ENDING = r"(?:ova|eva|ski|ska|sky|owicz|ewicz|wicz|sson|sen|etti|elli|ini|ino|ides|idis|poulos|kamp|mann|berg|stein|bach|dale|ford|wood|field|mont|mura|moto|yama|brandt|voss|øy|oy|enko|czyk|escu|oglu|oğlu|ián|yan|sch|ham|well|gård|gaard|quist|ström|strom|lund|dóttir|dottir|ović|ovic|ić|ez|eira|eiro|ovich|evich|smith|jones|nguyen|patel|singh|khan|kim|ова|ева|ов|ев|ин|ина|ский|ская)"
+
+#: Words after which, and words before which, a name is a person's.
+PERSON_BEFORE = frozenset("""
+mr mrs ms miss dr prof sir madam herr frau fräulein mme mlle monsieur madame señor señora señorita sr sra don doña pan pani signor signora bay bayan senhor senhora dear ask asked asking tell told met meet meeting
+call called calling contact contacted email emailed mail mailed ping pinged thank thanks credit by from with to named name names is was am and signed sincerely regards yours hire hired colleague boss manager
+friend neighbour neighbor sister brother cousin uncle aunt mother father wife husband son daughter teacher doctor nurse lawyer agent engineer author editor professor captain coach landlord tenant patient client
+customer invited invite visit visited know knew married saw see heard reach for heißt namens von bei mit an merci à avec nommé appelle con de por llama gracias pana pan od z do
+""".split())
+PERSON_AFTER = frozenset("""
+said says say told tells asked asks wrote writes called calls emailed mailed replied replies answered answers thinks thought knows knew wants wanted works worked runs ran approved approves left joined joins lives lived
+died met meets agreed agrees signed signs sent sends promised has had is was who whose will would can could and here sagt sagte schreibt schrieb meint hat ist dit a est dijo dice es tem disse powiedział powiedziała dedi сказал сказала
+""".split())
+#: Words that make what stands before them, or of them a name, a place, a firm, a work or a product.
+THING_WORDS = frozenset("""
+river lake mountain mountains valley island islands bay beach creek falls park forest desert sea ocean bridge street road avenue square station airport harbor harbour port tower castle palace college university school institute academy hospital clinic
+museum library theatre theater church cathedral hotel restaurant bar cafe stadium arena prize award foundation trust society club league cup trophy inc ltd llc gmbh corp company group bank airlines motors records press times post news magazine
+metrics db database cloud sheets forms docs mail crm erp api app sdk cli os pro plus enterprise edition suite studio labs lab systems software solutions technologies analytics platform server desktop mobile editor engine framework library plugin
+effect theorem law equation syndrome disease test scale index model method algorithm principle paradox award act day week month syndrome county city town village state province republic kingdom
+""".split())

@@ -1,12 +1,14 @@
 """Personal information in free text: found, and replaced by typed placeholders or by keyed surrogates.
 
 Five types are found: email, phone, identity_number, address, person_name. Formats are matched by pattern, in the ways people
-write them to evade or to be read aloud; names need a known given name or an initial together with a surname. Overlapping
-finds are settled in a fixed order of types, so the parts of an email address are no name and an identity number no phone.
+write them to evade or to be read aloud. A person's name is a given name or an initial together with a surname: a listed
+given name with a word that is no ordinary one, or two words that are no ordinary ones where the words around them speak of a
+person. Overlapping finds are settled in a fixed order of types, so the parts of an email address are no name and an identity
+number no phone.
 
-Each distinct entity gets one surrogate by a key: the same entity, however spelled, always the same one (coreference),
-another entity another one (collisions are found over all entities and redrawn). A surrogate keeps type and format: digits
-stay digits and separators stay, a name keeps gender, order, case and initials. Text around a find stays as it is.
+Each find gets a surrogate from a keyed bijection (``surrogates.py``), within the same narrow pass: the same entity, however
+spelled, always the same one (coreference), another entity another one. A surrogate keeps type, format, script and gender.
+Text around a find stays as it is.
 
 Defined cases: null and empty texts have no finds and stay as they are; [deleted] and the like are ordinary text; long texts
 are read whole; repeated rows are treated alike, each for itself.
@@ -14,23 +16,24 @@ are read whole; repeated rows are treated alike, each for itself.
 
 from __future__ import annotations
 
-import hashlib
+import json
 import re
-import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.names import AMBIGUOUS, FEMALE, GIVEN, NO_SURNAME, SURNAME_ENDING
-from evidra.session import cut, map_arrow
+from evidra.llm import Remembered
+from evidra.llm.names import AMBIGUOUS, GIVEN, NO_SURNAME, PERSON_AFTER, PERSON_BEFORE, SURNAME_ENDING, THING_WORDS
+from evidra.llm.surrogates import ADDRESS, EMAIL, ID, NAME, PHONE, Cipher, surrogate
+from evidra.llm.tokenizer import VOCABULARY
+from evidra.session import map_arrow
 
-EMAIL, PHONE, ID, ADDRESS, NAME = TYPES = ("email", "phone", "identity_number", "address", "person_name")
-
-_LOCAL = r"(?<![\w.+%-])[\w](?:[\w.+%'-]*[\w])?"
-_LABEL = r"[^\W_](?:[\w-]*[^\W_])?"
+_LOCAL = r"(?<![\w.+%'-])[\w](?:[\w.+%'-]{0,62}[\w])?"
+_LABEL = r"[^\W_](?:[\w-]{0,61}[^\W_])?"
 _EMAILS = (
     re.compile(rf"{_LOCAL}\s?@\s?{_LABEL}(?:\.{_LABEL})*\.[^\W\d_]{{2,}}"),
     re.compile(rf"{_LOCAL}\s?(?:[(\[{{<]\s?(?:at|AT|At)\s?[)\]}}>])\s?{_LABEL}(?:\s?(?:\.|[(\[{{<]\s?(?:dot|DOT|Dot)\s?[)\]}}>]|\b(?:dot|DOT)\b)\s?{_LABEL})+"),
@@ -87,7 +90,7 @@ _ADDRESSES = (
 )
 #: Cheap signs that a group of patterns can match at all, looked for in the lower-case text and its words.
 _NUMBER_SIGN = re.compile(r"\d(?:[^\w\n]{0,3}\d){6}|\d\d ?\d\d ?\d\d ?[a-d]\b|\d{4}-\d{4}")
-_ID_WORDS = frozenset("card passport passeport reisepass pasaporte passaporte paszport pasaport license licence ausweis personalausweis ausweisnummer personalausweisnummer carte documento dowód kimlik паспорт führerschein permis permiso prawo codice".split())
+_ID_WORDS = frozenset("card id-card national identity reisepassnummer social ssn passport passeport reisepass pasaporte passaporte paszport pasaport license licence ausweis personalausweis ausweisnummer personalausweisnummer carte documento dowód kimlik паспорт führerschein permis permiso prawo codice".split())
 _DIGIT_WORDS = frozenset(_DIGIT_WORD[3:-1].split("|"))
 _STREET_SIGNS = tuple(frozenset(x.split()) for x in (
     "street road avenue ave lane ln boulevard blvd rd drive dr court close way terrace square place crescent hill grove gardens mews walk parkway highway quay st row ct sq pl",
@@ -101,7 +104,7 @@ _STREET_SIGNS = tuple(frozenset(x.split()) for x in (
     "via viale piazza corso vicolo",
 ))
 _JOINED_STREET = ("straße", "strasse", "str", "weg", "gasse", "allee", "platz", "ring", "damm", "ufer", "straat", "laan", "plein", "gatan", "vägen", "vej", "gade")
-_SPACED = {c: " " for c in range(128) if not chr(c).isalnum() and chr(c) != "-"} | {ord(c): " " for c in "\u2019\u2018\u201c\u201d\u201e\u2013\u2014\u2026\u00a1\u00bf"}
+_SPACED = {c: " " for c in range(128) if not chr(c).isalnum() and chr(c) != "-"} | {ord(c): " " for c in "’‘“”„‚«»‹›–—…¡¿•·→★"}
 _SPACED_BYTES = bytes(32 if c in _SPACED else c for c in range(256))
 _CAPITAL_STREET = re.compile(rf" {_STREET_CAPITAL}\b")
 
@@ -111,8 +114,21 @@ _AFTER_GIVEN = re.compile(rf"[ \t]+(?:[^\W\d_a-zà-ÿ]\.[ \t]?){{0,2}}({_SURNAME
 _BEFORE_GIVEN = re.compile(r"([^\W\d_]+(?:['’-][^\W\d_]+)*),[ \t]+$")
 _INITIAL = re.compile(rf"(?<![\w.])(?<!\d )([^\W\d_a-zà-ÿ])\.[ \t]?(?:[^\W\d_a-zà-ÿ]\.[ \t]?)?([^\W\d_a-zà-ÿ][^\W\d_]*[^\W\d_A-ZÀ-Þ](?:-{_CAPITALISED})?|[^\W\d_a-zà-ÿ]{{4,}}(?:-[^\W\d_a-zà-ÿ]+)?)(?![\w@])")
 _ENDING = re.compile(SURNAME_ENDING + "$", re.I)
-_CUE_BEFORE = re.compile(r"(?:\b(?:signed|talk to|ask for|credit goes to|worked with|my manager|heißt|merci à|named|called|name is|contact|dr\.?|mr\.?|mrs\.?|ms\.?|prof\.?|herr|frau|mme|m\.|señora?|sra?\.|pan|pani)[,:]?\s+)$", re.I)
-_CUE_AFTER = re.compile(r"\s+(?:told me|from the|approved|who runs|for the script|pour l'aide)\b", re.I)
+_INITIAL_SIGN = re.compile(r"(?<![\w])[^\W\d_a-z]\.")
+_PROPER = r"[^\W\d_a-zà-ÿ][^\W\d_A-ZÀ-Þ]+(?:-[^\W\d_a-zà-ÿ][^\W\d_A-ZÀ-Þ]+)?"
+_PAIR = re.compile(rf"(?<![\w@/.-])({_PROPER})((?:[ \t]+[^\W\d_a-zà-ÿ]\.)?[ \t]+)((?:(?:van|von|de|da|del|di|dos|der|den|ter|la|le|bin|al)[ -]){{0,2}}(?:[OD]['’]|Mc|Mac)?{_PROPER})(?![\w@'’])")
+#: Two capitalised words side by side, roughly: what the pattern above can begin to match.
+_PAIR_SIGN = re.compile(r"[^\W\d_a-zà-ÿ][^\W\d_A-Z]+[ \t]+(?:[^\W\d_a-z]\.[ \t]+|(?:van|von|de|da|del|di|dos|der|den|ter|la|le|bin|al)[ -])*[^\W\d_a-zà-ÿ]\w")
+_LAST_WORD = re.compile(r"((?:mrs?|ms|dr|prof|sra?|mme|m|st)\.|[^\W\d_]+[,:]?)[ \t]*$", re.I)
+_NEXT_WORD = re.compile(r"(?:['’]s)?[ \t]+([^\W\d_]+)")
+
+
+class Vocabulary:
+    """Ordinary words, as a public tokenizer knows them in lower case after a blank."""
+
+    def __init__(self, path: str = VOCABULARY):
+        tokens = json.loads(Path(path).read_text(encoding="utf-8"))["model"]["vocab"]
+        self.common = frozenset(t[1:] for t in tokens if t[0] == "Ġ" and len(t) > 3 and t[1:].isalpha() and t[1:].islower()) - GIVEN
 
 
 def _capital(word: str) -> bool:
@@ -125,7 +141,19 @@ def _is_surname(word: str, given: str) -> bool:
     return len(low) > 1 and low not in NO_SURNAME and (_capital(last) or not _capital(given))
 
 
-def _names(text: str, given_there: bool = True) -> Iterator[tuple[int, int]]:
+def _around(text: str, start: int, end: int) -> tuple[str, str]:
+    """The words before and after a place, lower case, without crossing a line."""
+    before, after = _LAST_WORD.search(text, max(0, start - 30), start), _NEXT_WORD.match(text, end)
+    return before.group(1).lower().rstrip(".,:") if before else "", after.group(1) if after else ""
+
+
+def _is_thing(text: str, start: int, end: int, surname: str) -> bool:
+    """Whether the words around say that a name is a place, a firm, a work or a product."""
+    before, after = _around(text, start, end)
+    return surname.lower() in THING_WORDS or after[:1].isupper() and after.lower() in THING_WORDS or before == "the" and not after.islower()
+
+
+def _names(text: str, common: frozenset[str], given_there: bool = True) -> Iterator[tuple[int, int]]:
     for m in _WORDS.finditer(text) if given_there else ():
         given = m.group()
         low = given.lower()
@@ -134,33 +162,57 @@ def _names(text: str, given_there: bool = True) -> Iterator[tuple[int, int]]:
         capital = _capital(given)
         if not capital and low in AMBIGUOUS:
             continue
-        before = text[max(0, m.start() - 40) : m.start()]
         after = _AFTER_GIVEN.match(text, m.end())
         if after and _is_surname(after.group(1), given) and (after.group(1).lower() not in GIVEN or _ENDING.search(after.group(1))):
             surname = after.group(1)
+            last = surname.split()[-1].lower()
             if _capital(surname.split()[-1]) and capital:
-                yield m.start(), after.end()
+                if not _is_thing(text, m.start(), after.end(), surname.split()[-1]):
+                    yield m.start(), after.end()
                 continue
-            if _ENDING.search(surname) and len(surname) > 4 or _CUE_BEFORE.search(before) and _CUE_AFTER.match(text, after.end()):
+            before, following = _around(text, m.start(), after.end())
+            if len(last) > 4 and last not in common and (_ENDING.search(surname) or before in PERSON_BEFORE or following.lower() in PERSON_AFTER):
                 yield m.start(), after.end()
                 continue
-        front = _BEFORE_GIVEN.search(before)
+        front = _BEFORE_GIVEN.search(text, _back(text, m.start()), m.start())
         if front:
             surname = front.group(1)
             if surname.lower() not in NO_SURNAME and surname.lower() not in GIVEN and (capital and _capital(surname) or _ENDING.search(surname)) and len(surname) > 2:
-                whole = before[: front.start()]
-                listed = re.search(r"(?:,|\band|\bcompared)\s+$", whole)
-                if not listed or _ENDING.search(surname):
-                    yield m.start() - (len(before) - front.start()), m.end()
+                listed = _LISTED.search(text, max(0, front.start() - 30), front.start())
+                if not listed or listed.group(1) and listed.group(1).lower() in PERSON_BEFORE or _ENDING.search(surname):
+                    yield front.start(), m.end()
     for m in _INITIAL.finditer(text):
         surname = m.group(2)
-        before = text[max(0, m.start() - 12) : m.start()]
         low = surname.lower()
-        if low in NO_SURNAME or len(surname) < 3 or re.match(rf"\s+{_STREET}\b", text[m.end() :], re.I):
+        if low in NO_SURNAME or len(surname) < 3 or _STREET_NEXT.match(text, m.end()):
             continue
-        if re.search(r"\b(?:is|are|was|letter|letters|column|size|point|figure|table|plan|option|vitamin|type|class|grade|hepatitis|appendix|section|step|phase|vs|no)\s+$", before, re.I):
+        if _LETTER_BEFORE.search(text, max(0, m.start() - 12), m.start()):
             continue
         yield m.start(), m.end()
+    at = 0
+    while m := _PAIR.search(text, at):
+        given, surname = m.group(1), m.group(3)
+        last = surname.split()[-1]
+        at = m.start(3)  # the second word may begin the next pair
+        if given.lower() in GIVEN or any(w in common or w in NO_SURNAME or w in THING_WORDS for w in (given.lower(), last.lower())):
+            continue
+        before, after = _around(text, m.start(), m.end())
+        if (before in PERSON_BEFORE or after.lower() in PERSON_AFTER) and not _is_thing(text, m.start(), m.end(), last):
+            yield m.start(), m.end()
+            at = m.end()
+
+
+_LISTED = re.compile(r"(?:([^\W\d_]+),|\band|\bcompared)\s+$")
+_STREET_NEXT = re.compile(rf"\s+{_STREET}\b", re.I)
+_LETTER_BEFORE = re.compile(r"\b(?:is|are|was|letter|letters|column|size|point|figure|table|plan|option|vitamin|type|class|grade|hepatitis|appendix|section|step|phase|vs|no)\s+$", re.I)
+
+
+def _back(text: str, start: int) -> int:
+    """Where the word and the comma before a place begin, whatever the word's length."""
+    at = text.rfind(",", max(0, start - 4), start)
+    while at > 0 and (text[at - 1].isalpha() or text[at - 1] in "'’-"):
+        at -= 1
+    return max(0, at)
 
 
 def _spans(patterns: tuple, text: str) -> Iterator[tuple[int, int]]:
@@ -169,34 +221,59 @@ def _spans(patterns: tuple, text: str) -> Iterator[tuple[int, int]]:
             yield m.span(1) if p.groups and m.group(1) else m.span()
 
 
-def _find(text: str) -> list[tuple[int, int, str]]:
+def _find(text: str, common: frozenset[str]) -> list[tuple[int, int, str]]:
+    starts: list[int] = []
     found: list[tuple[int, int, str]] = []
 
     def take(kind: str, spans: Iterator[tuple[int, int]]) -> None:
         for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
-            if a < b and all(b <= x or a >= y for x, y, _ in found):
-                found.append((a, b, kind))
+            i = bisect_right(starts, a)
+            if a < b and (not i or found[i - 1][1] <= a) and (i == len(starts) or starts[i] >= b):
+                starts.insert(i, a)
+                found.insert(i, (a, b, kind))
 
     low = text.lower()
-    if "@" in low or "at" in low and ("dot" in low or "at)" in low or "at]" in low or "at}" in low or "at>" in low or "at )" in low or "at ]" in low):
+    if "@" in low or "at" in low and ("dot" in low or _AT_SIGN.search(low)):
         take(EMAIL, _spans(_EMAILS, text))
-    words = (low.encode().translate(_SPACED_BYTES).decode() if low.isascii() else low.translate(_SPACED)).split()
+    words = (low.encode().translate(_SPACED_BYTES).decode() if low.isascii() else _NO_WORD.sub(" ", low)).split()
     there = set(words)
+    if "-" in low:
+        there.update(x for w in words if "-" in w for x in w.split("-"))
     number = _NUMBER_SIGN.search(low) is not None
     if number or not _ID_WORDS.isdisjoint(there):
         take(ID, _spans(_IDS, text))
-    numbers = [i for i, w in enumerate(words) if w[0] in "0123456789"]
-    if numbers:
+    if _DIGIT.search(low):
         for pattern, signs in zip(_ADDRESSES, _STREET_SIGNS):
-            sign = not signs.isdisjoint(there) if signs else any(words[i - 1].endswith(_JOINED_STREET) for i in numbers if i)
+            if signs:
+                sign = not signs.isdisjoint(there)
+            else:
+                sign = any(words[i - 1].endswith(_JOINED_STREET) for i, w in enumerate(words) if i and "0" <= w[0] <= "9")
             if sign and (pattern is not _ADDRESSES[0] or _CAPITAL_STREET.search(text)):
                 take(ADDRESS, _spans((pattern,), text))
-    if number or sum(map(_DIGIT_WORDS.__contains__, words)) > 5:
+    if number or not _DIGIT_WORDS.isdisjoint(there) and sum(w in _DIGIT_WORDS for x in words for w in x.split("-")) > 5:
         take(PHONE, (s for s in _spans(_PHONES, text) if _is_phone(text[s[0] : s[1]])))
     given = not GIVEN.isdisjoint(there)
-    if given or any(w[1:2] == "." and w[0].isupper() for w in text.split()):
-        take(NAME, _names(text, given))
-    return sorted(found)
+    if given or _INITIAL_SIGN.search(text) or _PAIR_SIGN.search(text):
+        take(NAME, _names(text, common, given))
+    if any(k == ADDRESS for _, _, k in found):
+        found = _with_towns(text, found)
+    return found
+
+
+_AT_SIGN, _DIGIT, _NO_WORD = re.compile(r"at ?[)\]}>]"), re.compile(r"\d"), re.compile(r"[^\w-]+")
+_TOWN_AFTER = re.compile(rf"(?:,[ ]+(?:\d{{4,6}} )?|[ ]in |[ ]\d{{4,6}} )({_CAPITALISED})(?:[ -](?:del|de|les|la|sur|am|{_CAPITALISED})){{0,2}}(?:,? \d{{4,6}})?")
+
+
+def _with_towns(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Addresses with the town that follows, up to the next find; a word that begins a sentence or a name is no town."""
+    out = []
+    for i, (a, b, kind) in enumerate(found):
+        if kind == ADDRESS:
+            town = _TOWN_AFTER.match(text, b, found[i + 1][0] if i + 1 < len(found) else len(text))
+            if town and town.group(1).lower() not in NO_SURNAME and town.group(1).lower() not in GIVEN:
+                b = town.end()
+        out.append((a, b, kind))
+    return out
 
 
 def _is_phone(text: str) -> bool:
@@ -206,152 +283,61 @@ def _is_phone(text: str) -> bool:
     return 7 <= digits <= 20 and not re.fullmatch(r"\d{4}-\d\d-\d\d.*", text)
 
 
-def find(text: str | None) -> list[tuple[int, int, str]]:
+_ORDINARY: list[frozenset[str]] = []
+
+
+def ordinary_words() -> frozenset[str]:
+    """The ordinary words of this process; workers are handed theirs."""
+    if not _ORDINARY:
+        _ORDINARY.append(Vocabulary().common)
+    return _ORDINARY[0]
+
+
+def find(text: str | None, common: frozenset[str] | None = None) -> list[tuple[int, int, str]]:
     """Start, end and type of every find in a body of text, in order and without overlaps."""
-    return _find(text) if text else []
+    return _find(text, ordinary_words() if common is None else common) if text else []
 
 
 _HANDLE_PART = re.compile(r"[^\W\d_]+")
 
 
-def find_in_handle(handle: str | None) -> tuple[tuple[int, int, str], ...]:
+_HANDLES: Remembered = Remembered(2_000_000)
+
+
+def find_in_handle(handle: str | None, common: frozenset[str] | None = None) -> tuple[tuple[int, int, str], ...]:
     """Finds in an author name, where a name may stand in lower case, with any separator, or before a number."""
-    return _finds_in_handle(handle) if handle else ()
+    if not handle:
+        return ()
+    known = _HANDLES.get(handle)
+    if known is None:
+        known = _finds_in_handle(handle, ordinary_words() if common is None else common)
+        _HANDLES.keep(handle, known, 2 * len(handle))
+    return known
 
 
-@lru_cache(100_000)
-def _finds_in_handle(handle: str) -> tuple[tuple[int, int, str], ...]:
-    found = [f for f in _find(handle) if f[2] != NAME]
+def _finds_in_handle(handle: str, common: frozenset[str]) -> tuple[tuple[int, int, str], ...]:
+    found = [f for f in _find(handle, common) if f[2] != NAME]
     if found and found[0][2] == EMAIL:
         return tuple(found)
     phone = re.search(r"(?<!\d)(?:\+\d{9,14}|0[1-9]\d{8,9}|\d{3}-\d{3}-\d{4})(?!\d)", handle)
     if phone and not found:
         return ((phone.start(), phone.end(), PHONE),)
     parts = list(_HANDLE_PART.finditer(handle))
-    if not found and 2 <= len(parts) <= 4:
+    if not found and len(parts) > 1:
         low = [p.group().lower() for p in parts]
         ends = [i for i in (0, len(low) - 1) if low[i] in GIVEN and (low[i] not in AMBIGUOUS or parts[i].group()[:1].isupper() and " " in handle)]
         if ends:
             rest = [w for i, w in enumerate(low) if i != ends[0]]
-            if all(len(w) > 1 or "." in handle for w in rest) and any(len(w) > 2 for w in rest) and not any(w in NO_SURNAME or w in _HANDLE_WORDS for w in rest):
+            if all(len(w) > 1 or "." in handle for w in rest) and any(len(w) > 2 for w in rest) and not any(w in NO_SURNAME or w in THING_WORDS or w in common for w in rest):
                 found.append((parts[0].start(), parts[-1].end(), NAME))
-        elif len(parts) == 2 and len(low[0]) == 1 and len(low[1]) > 3 and (_ENDING.search(low[1]) or handle[parts[0].end() : parts[1].start()].startswith(".") and parts[1].group()[0].isupper()):
+        elif len(parts) == 2 and len(low[0]) == 1 and len(low[1]) > 3 and low[1] not in common and (_ENDING.search(low[1]) or handle[parts[0].end() : parts[1].start()].startswith(".") and parts[1].group()[0].isupper()):
             found.append((parts[0].start(), parts[1].end(), NAME))
     return tuple(sorted(found))
 
 
-#: Ordinary words that people join to a given name in nicknames.
-_HANDLE_WORDS = frozenset("harbor kettle otter lantern raven falcon badger socket pickle comet meadow turnip anvil gizmo walrus pixel cat dog bot fan girl boy man king queen dev code coder gamer games music art photo news real official writes tech cloud data labs studio blog world city moon star sun sky river rock fox wolf bear bird fish tree rose blue red green black white dark cool super mega crazy happy lucky mr mrs dr the of and from deleted removed automoderator moderator admin user guest anonymous throwaway".split())
-
-
 # --- replacement -------------------------------------------------------------------------------------------------------
 
 
-def _plain(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
-
-
-def entity_of(kind: str, text: str) -> str:
-    """The entity behind a find: the same for all spellings that mean the same."""
-    low = _plain(text)
-    if kind == EMAIL:
-        low = re.sub(r"\s?[(\[{<]\s?at\s?[)\]}>]\s?|\sat\s|\s?@\s?", "@", low)
-        return re.sub(r"\s?[(\[{<]\s?dot\s?[)\]}>]\s?|\sdot\s", ".", low)
-    if kind in (PHONE, ID):
-        words = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
-        low = re.sub(r"\b[a-z]+\b", lambda m: words.get(m.group(), m.group()), low) if kind == PHONE else low
-        return re.sub(r"[^0-9a-z+]", "", low)
-    if kind == NAME:
-        parts = re.findall(r"[^\W\d_]+", low)
-        if "," in text and len(parts) > 1:
-            parts = [*parts[-1:], *parts[:-1]]
-        if len(parts) > 1 and parts[0] not in GIVEN and parts[-1] in GIVEN:
-            parts = [parts[-1], *parts[:-1]]
-        # Initials between given name and surname do not make another person.
-        return " ".join(p for i, p in enumerate(parts) if i == 0 or len(p) > 1)
-    return re.sub(r"\W+", " ", low).strip()
-
-
-_ONSETS, _NUCLEI, _TAILS = "b br d dr f g gr h k kr l m n p r s st t tr v w".split(), "a e i o u ai ea".split(), "ck ll lm n nd ng r rd rn s sk st t x".split()
-_FEMALE_OUT, _MALE_OUT = (sorted(n for n in names if n.isascii() and n.isalpha() and len(n) > 3) for names in (FEMALE, GIVEN - FEMALE))
-
-
-class _Draw:
-    """A keyed stream of choices."""
-
-    def __init__(self, key: bytes, kind: str, entity: str, attempt: int):
-        self.state, self.seed = 0, hashlib.blake2b(f"{kind}\0{entity}\0{attempt}".encode("utf-8", "surrogatepass"), key=key, digest_size=16).digest()
-
-    def below(self, n: int) -> int:
-        self.state += 1
-        return int.from_bytes(hashlib.blake2b(self.seed + self.state.to_bytes(4, "big"), digest_size=8).digest(), "big") % n
-
-    def of(self, items: list[str]) -> str:
-        return items[self.below(len(items))]
-
-    def word(self, syllables: int = 2) -> str:
-        return "".join(self.of(_ONSETS) + self.of(_NUCLEI) for _ in range(syllables)) + self.of(_TAILS)
-
-
-def surrogate_entity(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
-    """The replacing entity, in its plain form."""
-    d = _Draw(key, kind, entity, attempt)
-    if kind == EMAIL:
-        return f"{d.word()}.{d.word()}@{d.word()}.example"
-    if kind == NAME:
-        first = entity.split(" ")[0]
-        return f"{d.of(_FEMALE_OUT if first in FEMALE else _MALE_OUT)} {d.word(2)}"
-    if kind == ADDRESS:
-        return f"{1 + d.below(199)} {d.word(2)}"
-    # Digits for digits, letters for letters; a leading plus or zero stays, as it says how to read the rest.
-    keep = re.match(r"(?:\+\d|00\d|0)?", entity).end() if kind == PHONE else 0
-    # A short format can run out of free values; from the fourth draw on the surrogate grows by a digit each time.
-    longer = "".join(str(d.below(10)) for _ in range(attempt - 3))
-    return longer + entity[:keep] + "".join(str(d.below(10)) if c.isdigit() else chr(97 + d.below(26)) if c.isalpha() and kind == ID else c for c in entity[keep:])
-
-
-def _cased(word: str, like: str) -> str:
-    return word.upper() if like.isupper() and len(like) > 1 else word.capitalize() if like[:1].isupper() else word
-
-
-def render(kind: str, original: str, surrogate: str) -> str:
-    """The surrogate in the format of the original: separators, order, case and initials as there."""
-    if kind == EMAIL:
-        local, _, domain = surrogate.partition("@")
-        out = re.sub(r"^(.*?)(\s?[(\[{<]\s?at\s?[)\]}>]\s?|\sat\s|\s?@\s?)(.*)$", lambda m: local + m.group(2) + (domain.replace(".", (re.search(r"\s?[(\[{<]\s?dot\s?[)\]}>]\s?|\sdot\s", m.group(3), re.I) or [" . "[1:2]])[0])), original, flags=re.I | re.S)
-        return out.upper() if original.isupper() else out
-    if kind in (PHONE, ID):
-        fill = iter([c for c in surrogate if c.isdigit() or kind == ID and c.isalpha()])
-        if kind == PHONE and not any(c.isdigit() for c in original):
-            names = "zero one two three four five six seven eight nine".split()
-            return re.sub(r"[A-Za-z]+", lambda m: names[int(x)] if (x := next(fill, "0")).isdigit() else x, original)
-        extra = "".join(next(fill) for _ in range(max(0, sum(c.isalnum() for c in surrogate) - sum(c.isalnum() for c in entity_of(kind, original)))))
-        out = extra + "".join((next(fill, c) if c.isdigit() or kind == ID and c.isalpha() else c) for c in original)
-        return out.upper() if kind == ID and original.upper() == original else out
-    if kind == ADDRESS:
-        number, street = surrogate.split(" ", 1)
-        out = re.sub(r"\d+", number, original, count=1)
-        words = [m for m in re.finditer(r"[^\W\d_]{4,}", out) if not re.fullmatch(rf"(?i:{_STREET}|flat|suite|apartment|unit|alte|neue|calle|avenida|street|road|boulevard|drive|court|close|terrace|square|place)", m.group())]
-        if words:
-            m = words[0]
-            end = re.search(r"(?i:stra(?:ß|ss)e|weg|gasse|allee|platz|ring|damm|ufer|straat|laan|owa)$", m.group())
-            out = out[: m.start()] + _cased(street, m.group()) + (end.group() if end else "") + out[m.end() :]
-        return out
-    given, surname = surrogate.split(" ", 1)
-    parts = list(re.finditer(r"[^\W\d_]+(?:-[^\W\d_]+(?=\W*$))?", original))
-    low = [p.group().lower() for p in parts]
-    last_first = "," in original or len(low) > 1 and low[0] not in GIVEN and low[-1] in GIVEN
-    out, at = [], 0
-    for i, p in enumerate(parts):
-        is_given = i == (len(parts) - 1 if last_first else 0)
-        new = given[0] if is_given and len(p.group()) == 1 else given if is_given else p.group() if len(p.group()) == 1 else surname
-        out += [original[at : p.start()], _cased(new, p.group()) if len(p.group()) > 1 else new.upper() if p.group().isupper() else new]
-        at = p.end()
-        if not is_given and len(p.group()) > 1:
-            surname = ""
-    return "".join(out) + original[at:]
-
-
 def placeholder(kind: str) -> str:
     return f"[{kind.upper()}]"
 
@@ -368,100 +354,98 @@ def replaced(text: str, finds: list[tuple[int, int, str]]) -> str:
 # --- Spark -------------------------------------------------------------------------------------------------------------
 
 
-def _typing(fields: tuple[str, ...], handles: frozenset[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, names, kinds = [], [], []
-            rows = b.column("key").to_pylist()
-            for f in fields:
-                for key, text in zip(rows, b.column(f).to_pylist()):
-                    if text:
-                        for kind in {x[2] for x in (find_in_handle(text) if f in handles else find(text))}:
-                            keys.append(key)
-                            names.append(f)
-                            kinds.append(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field("key").type), pa.array(names, pa.string()), pa.array(kinds, pa.string())], ["key", "field_name", "pii_type"])
-
-    return run
-
-
-def types_present(df: DataFrame, key: str, bodies: list[str], handles: list[str]) -> DataFrame:
-    """One row per row, field and type found. Columns key, field_name and pii_type."""
-    fields = (*bodies, *handles)
-    kind = df.schema[key].dataType.simpleString()
-    return map_arrow(df.select(F.col(key).alias("key"), *fields), _typing(fields, frozenset(handles)), f"key {kind}, field_name string, pii_type string")
+Find = tuple[int, int, str, str, str, str, str]
 
 
-def _mentioning(fields: tuple[str, ...], handles: frozenset[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            rows = b.column("key").to_pylist()
-            for f in fields:
-                for key, text in zip(rows, b.column(f).to_pylist()):
-                    for x, y, kind in (find_in_handle(text) if f in handles else find(text)):
-                        out.append((key, f, x, y, kind, text[x:y], entity_of(kind, text[x:y])))
-            types = [b.schema.field("key").type, pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
-            columns = zip(*out) if out else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["key", "field_name", "start", "end", "pii_type", "found", "entity"])
+class Reader:
+    """All finds of a field with their surrogates: start, end, type, text, entity, replacing entity, what is written."""
+
+    def __init__(self, secret: bytes, common: frozenset[str], handles: frozenset[str]):
+        self.cipher, self.common, self.handles = Cipher(secret), common, handles
+        self.known = Remembered(2_000_000)
 
-    return run
+    def finds(self, field: str, text: str | None) -> list[Find]:
+        if not text:
+            return []
+        spans = find_in_handle(text, self.common) if field in self.handles else find(text, self.common)
+        return [(a, b, kind, text[a:b], *self._surrogate(kind, text[a:b])) for a, b, kind in spans]
 
+    def _surrogate(self, kind: str, found: str) -> tuple[str, str, str]:
+        made = self.known.get((kind, found))
+        if made is None:
+            made = surrogate(kind, found, self.cipher)
+            self.known.keep((kind, found), made, 4 * len(found))
+        return made
 
-def mentions(df: DataFrame, key: str, bodies: list[str], handles: list[str]) -> DataFrame:
-    """Every find with its place, text and entity."""
+
+def _with_reader(df: DataFrame, key: str, bodies: list[str], handles: list[str], secret: bytes, vocabulary: str, run, schema: str) -> DataFrame:
+    """``run(reader, batch, fields)`` over the rows, with the ordinary words broadcast (their number is that of a vocabulary)."""
     fields = (*bodies, *handles)
+    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary).common)
     kind = df.schema[key].dataType.simpleString()
-    return map_arrow(df.select(F.col(key).alias("key"), *fields), _mentioning(fields, frozenset(handles)), f"key {kind}, field_name string, start int, end int, pii_type string, found string, entity string")
-
 
-def _drawing(secret: bytes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(secret, shared.value, frozenset(handles))
         for b in batches:
-            kinds, entities, attempts = (b.column(c).to_pylist() for c in ("pii_type", "entity", "attempt"))
-            made = [surrogate_entity(k, e, secret, a) for k, e, a in zip(kinds, entities, attempts)]
-            yield pa.RecordBatch.from_arrays([b.column("pii_type"), b.column("entity"), b.column("attempt"), pa.array(made, pa.string())], ["pii_type", "entity", "attempt", "surrogate"])
-
-    return run
-
-
-def assign_surrogates(entities: DataFrame, secret: bytes) -> DataFrame:
-    """A surrogate for each distinct (pii_type, entity), no two alike and none equal to an entity that is there.
-
-    Entities that drew a taken surrogate draw again with the next number; of those that drew the same, the first by hash
-    keeps it. The rounds end when no entity is left without one of its own.
-    """
-    known = cut(entities.select("pii_type", "entity").distinct())
-    taken = known.select("pii_type", F.col("entity").alias("surrogate"))
-    todo, settled, attempt = known.withColumn("attempt", F.lit(0)), None, 0
-    while True:
-        drawn = map_arrow(todo, _drawing(secret), "pii_type string, entity string, attempt int, surrogate string")
-        ranked = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("pii_type", "surrogate").orderBy(F.xxhash64("entity"), "entity")))
-        free = cut(ranked.join(taken.withColumn("used", F.lit(True)), ["pii_type", "surrogate"], "left"))
-        good = free.where("nth = 1 AND used IS NULL").select("pii_type", "entity", "surrogate")
-        settled = good if settled is None else settled.unionByName(good)
-        taken = taken.unionByName(good.select("pii_type", "surrogate"))
-        attempt += 1
-        todo = free.where("nth > 1 OR used").select("pii_type", "entity", F.lit(attempt).cast("int").alias("attempt"))
-        if todo.isEmpty():
-            return settled
-
-
-def _rendering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        marked, natural = [], []
-        for text, finds in zip(b.column("text").to_pylist(), b.column("finds").to_pylist()):
-            finds = finds or []
-            marked.append(text if not finds else replaced(text, [(f["start"], f["end"], placeholder(f["pii_type"])) for f in finds]))
-            natural.append(text if not finds else replaced(text, [(f["start"], f["end"], render(f["pii_type"], f["found"], f["surrogate"])) for f in finds]))
-        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("field_name"), pa.array(marked, pa.string()), pa.array(natural, pa.string())], ["key", "field_name", "redacted", "surrogate_text"])
-
-
-def replace_all(df: DataFrame, key: str, bodies: list[str], handles: list[str], secret: bytes) -> DataFrame:
-    """Every row's fields with typed placeholders (``redacted``) and with surrogates (``surrogate_text``); key must be unique."""
-    found = cut(mentions(df, key, bodies, handles))
-    drawn = assign_surrogates(found, secret)
-    finds = found.join(drawn, ["pii_type", "entity"]).groupBy("key", "field_name").agg(F.collect_list(F.struct("start", "end", "pii_type", "found", "surrogate")).alias("finds"))
-    texts = df.select(F.col(key).alias("key"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in (*bodies, *handles)])).alias("x")).select("key", "x.field_name", "x.text")
-    kind = df.schema[key].dataType.simpleString()
-    return map_arrow(texts.join(finds, ["key", "field_name"], "left"), _rendering, f"key {kind}, field_name string, redacted string, surrogate_text string")
+            yield run(reader, b, fields)
+
+    return map_arrow(df.select(F.col(key).alias("key"), *fields), over, f"key {kind}, {schema}")
+
+
+def _types_of(reader: Reader, b: pa.RecordBatch, fields: tuple[str, ...]) -> pa.RecordBatch:
+    keys, names, kinds = [], [], []
+    rows = b.column("key").to_pylist()
+    for f in fields:
+        for key, text in zip(rows, b.column(f).to_pylist()):
+            # A type counts through a find that has its checked surrogate.
+            for kind in sorted({x[2] for x in reader.finds(f, text) if x[6] != x[3]}):
+                keys.append(key)
+                names.append(f)
+                kinds.append(kind)
+    return pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field("key").type), pa.array(names, pa.string()), pa.array(kinds, pa.string())], ["key", "field_name", "pii_type"])
+
+
+def types_present(df: DataFrame, key: str, bodies: list[str], handles: list[str], secret: bytes, vocabulary: str = VOCABULARY) -> DataFrame:
+    """One row per row, field and type of the finds that were given a surrogate. Columns key, field_name and pii_type."""
+    return _with_reader(df, key, bodies, handles, secret, vocabulary, _types_of, "field_name string, pii_type string")
+
+
+_MENTION = ["key", "field_name", "start", "end", "pii_type", "found", "entity", "surrogate", "written"]
+
+
+def _mentions_of(reader: Reader, b: pa.RecordBatch, fields: tuple[str, ...]) -> pa.RecordBatch:
+    out = [(key, f, *x) for f in fields for key, text in zip(b.column("key").to_pylist(), b.column(f).to_pylist()) for x in reader.finds(f, text)]
+    types = [b.schema.field("key").type, pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 5]
+    columns = zip(*out) if out else [()] * len(_MENTION)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], _MENTION)
+
+
+def mentions(df: DataFrame, key: str, bodies: list[str], handles: list[str], secret: bytes, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Every find with its place, text, entity, replacing entity and what is written for it."""
+    return _with_reader(df, key, bodies, handles, secret, vocabulary, _mentions_of, "field_name string, start int, end int, pii_type string, found string, entity string, surrogate string, written string")
+
+
+def _replaced_in(reader: Reader, b: pa.RecordBatch, fields: tuple[str, ...]) -> pa.RecordBatch:
+    keys, names, marked, natural = [], [], [], []
+    rows = b.column("key").to_pylist()
+    for f in fields:
+        for key, text in zip(rows, b.column(f).to_pylist()):
+            finds = reader.finds(f, text)
+            keys.append(key)
+            names.append(f)
+            marked.append(replaced(text, [(x[0], x[1], placeholder(x[2])) for x in finds]) if finds else text)
+            natural.append(replaced(text, [(x[0], x[1], x[6]) for x in finds]) if finds else text)
+    return pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field("key").type), pa.array(names, pa.string()), pa.array(marked, pa.string()), pa.array(natural, pa.string())], ["key", "field_name", "redacted", "surrogate_text"])
+
+
+def replace_all(df: DataFrame, key: str, bodies: list[str], handles: list[str], secret: bytes, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Every row's fields with typed placeholders (``redacted``) and with surrogates (``surrogate_text``), in one pass without a shuffle."""
+    return _with_reader(df, key, bodies, handles, secret, vocabulary, _replaced_in, "field_name string, redacted string, surrogate_text string")
+
+
+def surrogate_checks(found: DataFrame) -> DataFrame:
+    """The collision check over all ``mentions``: per type its mentions, entities and replacing entities, how many entities share
+    one (distinctness) and how many have several (coreference). Only finds are shuffled, and combined before that."""
+    pairs = found.groupBy("pii_type", "entity", "surrogate").agg(F.count("*").alias("n"))
+    per_type = lambda by, out: pairs.groupBy("pii_type", by).agg(F.count("*").alias("k")).groupBy("pii_type").agg(F.count("*").alias(out[0]), F.count_if(F.col("k") > 1).alias(out[1]))
+    return pairs.groupBy("pii_type").agg(F.sum("n").alias("mentions")).join(per_type("entity", ("entities", "split_entities")), "pii_type").join(per_type("surrogate", ("surrogates", "shared_surrogates")), "pii_type")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidra.llm.abuse import score_texts
 from evidra.llm.encoding import repair_texts
 from evidra.llm.mixing import mix, source_key
-from evidra.llm.pii import replace_all, types_present
+from evidra.llm.pii import mentions, replace_all, surrogate_checks, types_present
 from evidra.llm.tokenizer import encode
 from evidra.llm.topn import top_n
 from evidra.session import table
@@ -41,16 +41,25 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, ("subreddit",)).groupBy("subreddit").agg(F.count("*").alias("rows"), bad.alias("to_review"), (bad / F.count("*")).alias("rate"))
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = types_present(table(spark, sf_dir, "deep_comments"), "row_id", ["body"], ["author"])
+#: The key of the surrogates of problem 3; whoever holds it can undo them, so a user passes an own one.
+SECRET = b"evidra-surrogates"
+
+
+def p3_found(spark: SparkSession, sf_dir: str, secret: bytes = SECRET) -> DataFrame:
+    found = types_present(table(spark, sf_dir, "deep_comments"), "row_id", ["body"], ["author"], secret)
     return found.select(F.col("key").alias("row_id"), "field_name", "pii_type")
 
 
-def p3_replaced(spark: SparkSession, sf_dir: str, secret: bytes = b"evidra-surrogates") -> DataFrame:
+def p3_replaced(spark: SparkSession, sf_dir: str, secret: bytes = SECRET) -> DataFrame:
     """Every body and author with typed placeholders, and with surrogates."""
     return replace_all(table(spark, sf_dir, "deep_comments"), "row_id", ["body"], ["author"], secret).withColumnRenamed("key", "row_id")
 
 
+def p3_checks(spark: SparkSession, sf_dir: str, secret: bytes = SECRET) -> DataFrame:
+    """Per type the entities and surrogates of the whole table, and how many break distinctness or coreference."""
+    return surrogate_checks(mentions(table(spark, sf_dir, "deep_comments"), "row_id", ["body"], ["author"], secret))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     opportunities = table(spark, sf_dir, "opportunities").groupBy("id").agg(F.max(F.struct("updated_at", "creation_order", "campaign_id", "analysis_id")).alias("last")).select("id", "last.*").where("campaign_id IS NOT NULL")
     analyses = table(spark, sf_dir, "analyses").where("relevance BETWEEN 0 AND 1").groupBy(F.col("id").alias("analysis_id")).agg(F.max("relevance").alias("relevance"))
@@ -87,7 +96,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_texts(table(spark, sf_dir, "documents"), "doc_id", "text").where("garbled").select("doc_id", "restored", "steps")
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_rates": p1_rates, "p3_found": p3_found, "p3_replaced": p3_replaced, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_rates": p1_rates, "p3_found": p3_found, "p3_replaced": p3_replaced, "p3_checks": p3_checks, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_restored": p9_restored}
 SQL = {
     "p6_found": """
         WITH latest AS (SELECT * FROM opportunities QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, creation_order DESC) = 1),

@@ -1,10 +1,15 @@
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import pytest
 
-from evidra.llm.pii import EMAIL, assign_surrogates, entity_of, find, find_in_handle, mentions, render, replace_all, surrogate_entity, types_present
+from evidra.llm.pii import find, find_in_handle, mentions, replace_all, surrogate_checks, types_present
+from evidra.llm.surrogates import EMAIL, Cipher, entity_of, plain, surrogate
 
 KEY = b"k" * 16
+CIPHER = Cipher(KEY)
 FOUND = {
     "email": ["a.b+c@mail.example.org", "A.B@X-Y.EXAMPLE", "ann @ x.example", "ann (at) x (dot) example", "ann[at]x.example", "ann AT mail DOT x DOT org"],
     "phone": ["+49 30 5550 1582", "+44 (0)7700 900 829", "+1-206-555-0143 ext. 63", "(415) 555-0176", "312.555.0156", "646555 0106", "07700 900274", "030/55507966", "01 99 00 37 00", "0034 600 55 27 74", "5 0 3 5 5 5 0 1 1 6", "five five five, oh one nine four", "+33199 001271"],
@@ -52,9 +57,10 @@ def test_entities_agree_across_spellings():
 def test_surrogates_keep_type_and_format(kind, text):
     a, b, _ = next(f for f in find(text) if f[2] == kind)
     part = text[a:b]
-    new = surrogate_entity(kind, entity_of(kind, part), KEY)
-    shown = render(kind, part, new)
-    assert shown != part and new == surrogate_entity(kind, entity_of(kind, part), KEY)
+    entity, new, shown = surrogate(kind, part, CIPHER)
+    assert shown != part and (entity, new, shown) == surrogate(kind, part, Cipher(KEY)) and entity == entity_of(kind, part) != new
+    if kind != "email":
+        assert entity_of(kind, shown) == new
     if kind in ("phone", "identity_number"):
         assert [c.isdigit() for c in shown] == [c.isdigit() for c in part] or not any(c.isdigit() for c in part)
     if kind == "person_name":
@@ -64,19 +70,71 @@ def test_surrogates_keep_type_and_format(kind, text):
 
 
 def test_gender_is_kept():
-    from evidra.llm.names import FEMALE
+    from evidra.llm.names import FEMALE, MALE
+
+    for names, female in ((FEMALE, True), (MALE - FEMALE, False)):
+        given = {CIPHER.given(plain(n)) for n in names if plain(n) not in {plain(f) for f in FEMALE} or female}
+        assert all((g in {plain(f) for f in FEMALE}) == female for g in given)
+
+
+def test_script_is_kept():
+    for kind, text in (("person_name", "Анна Иванова"), ("person_name", "Γιώργος Παπαδόπουλος"), ("address", "ул. Ленина 5, Тверь"), ("person_name", "Сергей Д. Петров")):
+        _, _, shown = surrogate(kind, text, CIPHER)
+        assert shown != text and {unicodedata.name(c).split()[0] for c in shown if c.isalpha()} == {unicodedata.name(c).split()[0] for c in text if c.isalpha()}
+
+
+def test_nothing_of_an_address_is_left():
+    for text in ("12 Oak St", "7 Elm Road", "12 Martin Luther King Blvd", "Flat 7, 111 Maple Rd, Bremfeld", "Sycamoreweg 185, 04599 Ostwick", "31 Orchard Blvd., Suite 769"):
+        _, _, shown = surrogate("address", text, CIPHER)
+        own = {w for w in re.findall(r"\w+", text.lower()) if w not in "st road blvd flat rd suite".split()}
+        assert not own & set(re.findall(r"\w+", shown.lower())), (text, shown)
+
+
+def test_country_codes_and_control_letters_stay_right():
+    assert surrogate("phone", "+49 30 5550 1582", CIPHER)[2].startswith("+49 ") and surrogate("phone", "00351 600 55 27 74", CIPHER)[2].startswith("00351 ")
+    for text in ("14576126M", "X1234567L"):
+        shown = surrogate("identity_number", text, CIPHER)[1]
+        number = int(("xyz".index(shown[0]) and "" or "0") + shown[1:-1] if shown[0] in "xyz" else shown[:-1])
+        valid = "trwagmyfpdxbnjzsqvhlcke"
+        was = int(text[:-1].lower().replace("x", "0"))
+        assert (valid.index(shown[-1]) - number) % 23 == (valid.index(text[-1].lower()) - was) % 23
+
+
+@pytest.mark.parametrize(("kind", "texts"), [("address", [f"{n} Oak St" for n in range(1, 3000)]), ("phone", [f"555-{n:04d}" for n in range(10_000)]), ("identity_number", [f"{n:02d}" for n in range(100)]), ("person_name", [f"Laura {a}{b}{c}on" for a in "BCDFGHKLMNPRST" for b in "aeiou" for c in "bdfgklmnprst"]), ("email", [f"{a}{n}@x.{t}" for a in "abcdefg" for n in range(20) for t in ("com", "org", "example", "com.example")])])
+def test_no_two_entities_share_what_is_written(kind, texts):
+    """As many different surrogates as entities, however many of the possible values are taken."""
+    written = [surrogate(kind, t, CIPHER)[2] for t in texts]
+    assert len({w.lower() for w in written}) == len(set(texts)) and not any(a == b for a, b in zip(texts, written))
+
+
+UNLISTED = "Gareth Pemberton;Dorothy Hargreaves;Rajiv Menon;Zhang Wei;Imogen Thistlethwaite;Oluwaseun Adebayo;Thiago Vasconcelos;Mireille Duchamp;Ignatius Reilly;Bronwyn Llewellyn;Tadeusz Kowalczyk;Solveig Haugland;Ottoline Featherstone;Wilhelmina Vandersloot;Ezekiel Montgomery;Parvati Krishnamurthy;Bogdan Dragomir;Leocadia Fuentes;Torvald Ingebrigtsen;Annika Söderlund;Cuthbert Wigglesworth;Domhnall Gallagher;Saoirse Kinsella;Xiomara Villanueva;Yevgenia Morozova;Percival Blenkinsop;Araminta Ponsonby;Lubomir Novotny;Hadiza Abubakar;Tamsin Trelawney".split(";")
+FRAMES = ["Yesterday {} told me the price goes up.", "Please ask {} for the key.", "I met {} at the office.", "Mr. {} signed the contract.", "The report was written by {} in May.", "My colleague {} left in June.", "{} said it works.", "Many thanks to {} for the quick fix.", "I spoke with {} about it.", "Our landlord {} wants cash."]
+THINGS = ["The Jordan River is low.", "We moved from Acme to Victoria Metrics.", "We use Maria DB for that.", "She studied at Sarah Lawrence College.", "Greetings from Prince Edward Island.", "The Laura Ashley Group has closed.", "Has anyone moved from Quillstack to Northpail?", "I like Harborcast Cloud and Brindle CRM.", "It was made by Umbrella Software in Bremfeld.", "We went to Lake Constance and Black Forest.", "Set up by Visual Studio Code.", "We flew with Turkish Airlines to New York.", "See Stack Overflow and Hacker News.", "I work with Google Docs and Power Point.", "Thanks to Open Street Map for the tiles.", "Credit to Mozilla Firefox for that.", "Answered by Customer Support.", "The Peter Principle applies.", "It is named Product Hunt.", "Written by Machine Learning models."]
+
+
+def test_names_in_no_list_are_found():
+    """Recall of names that stand in no list, in ten frames each, and what is wrongly taken for a name."""
+    from evidra.llm.names import GIVEN
+
+    names = [n for n in UNLISTED if n.split()[0].lower() not in GIVEN]
+    hits = [any(k == "person_name" and name in frame.format(name)[a:b] for a, b, k in find(frame.format(name))) for name in names for frame in FRAMES]
+    print("recall", sum(hits) / len(hits), [t for t in THINGS if find(t)])
+    assert len(names) > 25 and sum(hits) >= 0.9 * len(hits)
+    assert sum(bool(find(t)) for t in THINGS) <= 1
+
+
+def test_time_grows_with_length():
+    import time
 
-    for first, female in (("laura", True), ("karl", False), ("zoe", True), ("hugo", False)):
-        given = {surrogate_entity("person_name", f"{first} x{i}", KEY).split()[0] for i in range(40)}
-        assert all((g in FEMALE) == female for g in given)
+    for unit in ("a'", "a.", "ann at ", "1 ", "John Smith, ", "J. ", "(at) ", "five ", "12 Oak St ", "Abc ", "a@", "+1 "):
+        began = time.perf_counter()
+        find((unit * (100_000 // len(unit)))[:100_000] + " @ x")
+        assert time.perf_counter() - began < 3, unit
 
 
-def test_distinct_surrogates(spark):
-    entities = spark.createDataFrame([("address", f"{i} street") for i in range(900)] + [("identity_number", f"{i:02d}") for i in range(60)] + [("address", "1 street")], "pii_type string, entity string")
-    got = assign_surrogates(entities, KEY).collect()
-    assert len(got) == 960 == len({(r["pii_type"], r["surrogate"]) for r in got}) == len({(r["pii_type"], r["entity"]) for r in got})
-    taken = {(r["pii_type"], r["entity"]) for r in got}
-    assert sum((r["pii_type"], r["surrogate"]) in taken for r in got if r["pii_type"] == "address") == 0
+@pytest.mark.parametrize(("kind", "text"), [("person_name", "(J. Smith)"), ("person_name", "«Laura Brindle» said so"), ("address", "Calle Mayor nº5"), ("phone", "five-five-five-one-two-one-two"), ("identity_number", "id-card LZ-0137"), ("identity_number", "national id AB1234"), ("identity_number", "Reisepassnummer C01X0"), ("email", "ann {at } x { dot } example")])
+def test_gates_let_through_what_the_patterns_find(kind, text):
+    assert kind in {k for _, _, k in find(text)} or kind == "email" and not find(text)
 
 
 DATA = [(1, "Write me at ann.b@x.example or ann.b (at) x (dot) example.", "Zoë Vellmannel", "c"), (2, "Signed, VELLMANNEL, ZOË", None, "c"), (3, None, "QuietHarbor0", "c"), (4, "", "", "c"), (5, "Write me at ann.b@x.example or ann.b (at) x (dot) example.", "Zoë Vellmannel", "c"), (6, "fine. " * 20_000 + "Call +49 30 5550 1582", None, "c")]
@@ -84,9 +142,9 @@ DATA = [(1, "Write me at ann.b@x.example or ann.b (at) x (dot) example.", "Zoë
 
 def test_spark(spark):
     df = spark.createDataFrame(DATA, "row_id long, body string, author string, pii_type string")
-    types = sorted(map(tuple, types_present(df, "row_id", ["body"], ["author"]).collect()))
+    types = sorted(map(tuple, types_present(df, "row_id", ["body"], ["author"], KEY).collect()))
     assert types == [(1, "author", "person_name"), (1, "body", "email"), (2, "body", "person_name"), (5, "author", "person_name"), (5, "body", "email"), (6, "body", "phone")]
-    assert mentions(df, "row_id", ["body"], ["author"]).count() == 8
+    assert mentions(df, "row_id", ["body"], ["author"], KEY).count() == 8
     got = {(r["key"], r["field_name"]): r for r in replace_all(df, "row_id", ["body"], ["author"], KEY).collect()}
     assert len(got) == 12 and got[1, "body"]["redacted"] == "Write me at [EMAIL] or [EMAIL]." and got[1, "author"]["redacted"] == "[PERSON_NAME]"
     assert got[6, "body"]["redacted"] == "fine. " * 20_000 + "Call [PHONE]" and got[3, "body"]["redacted"] is None and got[4, "body"]["surrogate_text"] == ""
@@ -95,4 +153,7 @@ def test_spark(spark):
     new = got[1, "author"]["surrogate_text"].split()
     assert got[2, "body"]["surrogate_text"] == f"Signed, {new[1].upper()}, {new[0].upper()}"
     empty = df.where("false")
-    assert types_present(empty, "row_id", ["body"], ["author"]).count() == replace_all(empty, "row_id", ["body"], ["author"], KEY).count() == 0
+    assert types_present(empty, "row_id", ["body"], ["author"], KEY).count() == replace_all(empty, "row_id", ["body"], ["author"], KEY).count() == 0
+    checks = {r["pii_type"]: r for r in surrogate_checks(mentions(df, "row_id", ["body"], ["author"], KEY)).collect()}
+    assert checks["email"]["mentions"] == 4 and checks["email"]["entities"] == checks["email"]["surrogates"] == 1
+    assert all(r["split_entities"] == r["shared_surrogates"] == 0 for r in checks.values())
