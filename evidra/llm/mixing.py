@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.session import cut, map_arrow
+from evidra.session import cut, in_parts, map_arrow
 
 #: At most so many blocks are apportioned, and a source has at most so many shards; both bound what the driver holds.
 MOST_BLOCKS, MOST_SHARDS, SHARD_TOKENS = 100_000, 4096, 2_000_000
@@ -93,7 +93,8 @@ def mix(documents: DataFrame, key: str, source: str, tokens: str, targets: list[
     # shard is held, so shards may be of any size.
     rounds = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.col("most") - F.col("copies")).cast("int"))))
     placed = sharded.join(F.broadcast(quota), ["source", "shard"]).select("key", "source", "shard", "tokens", "copies", "rest", "most", F.xxhash64(F.lit(seed + 1), "key").alias("turn"), rounds.alias("round"))
-    ordered = placed.repartition("source", "shard").sortWithinPartitions("source", "shard", "round", "turn", "key")
+    # As many tasks as shards, so that the work is spread whatever the session's shuffle partitions are.
+    ordered = placed.repartition(in_parts(max(1, sum(shards.values())), 1), "source", "shard").sortWithinPartitions("source", "shard", "round", "turn", "key")
     kind = documents.schema[key].dataType.simpleString()
     filled = map_arrow(ordered, _fill, f"key {kind}, source string, tokens long, times_used int")
     mixed = cut(filled.groupBy(F.col("key").alias(key), "source", "tokens").agg(F.sum("times_used").cast("int").alias("times_used")))

@@ -72,9 +72,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    documents = table(spark, sf_dir, "documents")
-    tokens = encode(documents, "doc_id", "text", counts_only=True)
-    sized = tokens.join(documents.select("doc_id", "source"), "doc_id")
+    sized = encode(table(spark, sf_dir, "documents"), "doc_id", "text", counts_only=True, keep="source")
     targets = [tuple(r) for r in table(spark, sf_dir, "mix_targets").select("source", "target_share", "max_repeats").collect()]
     return mix(sized, "doc_id", "source", "tokens", targets)
 

@@ -11,6 +11,7 @@ broadcast.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from pathlib import Path
@@ -30,6 +31,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 _NONE = np.iinfo(np.int64).max
 #: Distinct words a worker remembers before it starts anew.
 REMEMBERED_WORDS = 300_000
+#: Words of more bytes are merged by a queue of pairs.
+LONG_WORD = 1000
 
 
 def _byte_letters() -> list[str]:
@@ -56,7 +59,7 @@ class Vocabulary:
 
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.split = vocabulary, regex.compile(PATTERN)
+        self.v, self.split, self.pairs = vocabulary, regex.compile(PATTERN), None
         self._forget()
 
     def _forget(self) -> None:
@@ -71,7 +74,51 @@ class Encoder:
         return np.append(np.where(ok, self.v.ranks[place], _NONE), _NONE), np.append(place, 0)
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and the number of each word's ids. No word is empty."""
+        """Ids of all words in a row, and the number of each word's ids. No word is empty.
+
+        A round over the flat array merges one rank per word, so a run of many thousand letters would need as many rounds;
+        such words are merged by a queue of their pairs instead, to the same ids.
+        """
+        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+        if not long:
+            return self._merge_rounds(words)
+        apart = {i: self._merge_queue(words[i]) for i in long}
+        rest = [w for i, w in enumerate(words) if i not in apart]
+        ids, counts = self._merge_rounds(rest) if rest else (np.empty(0, np.int64), np.empty(0, np.int64))
+        pieces, lengths, ends = [], np.zeros(len(words), np.int64), iter(np.split(ids, np.cumsum(counts)[:-1]) if rest else ())
+        for i in range(len(words)):
+            piece = apart[i] if i in apart else next(ends)
+            pieces.append(piece)
+            lengths[i] = len(piece)
+        return np.concatenate(pieces), lengths
+
+    def _merge_queue(self, word: bytes) -> np.ndarray:
+        """Ids of one long word: the lowest rank first, of equal ranks the leftmost place."""
+        if self.pairs is None:
+            self.pairs = dict(zip(self.v.keys.tolist(), zip(self.v.ranks.tolist(), self.v.made.tolist())))
+        pairs, width = self.pairs, self.v.width
+        symbols: list[int] = self.v.byte_ids[np.frombuffer(word, np.uint8)].tolist()
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(found[0], i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (found := pairs.get(symbols[i] * width + symbols[i + 1]))]
+        heapq.heapify(queue)
+        while queue:
+            _, i, a, b = heapq.heappop(queue)
+            j = after[i]
+            if symbols[i] != a or j >= n or symbols[j] != b:
+                continue  # one of the two has been merged since
+            symbols[i], symbols[j] = pairs[a * width + b][1], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if found := pairs.get(symbols[i] * width + symbols[k]):
+                    heapq.heappush(queue, (found[0], i, symbols[i], symbols[k]))
+            h = before[i]
+            if h >= 0 and (found := pairs.get(symbols[h] * width + symbols[i])):
+                heapq.heappush(queue, (found[0], h, symbols[h], symbols[i]))
+        return np.array([s for s in symbols if s >= 0], np.int64)
+
+    def _merge_rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         symbols = self.v.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), [len(w) for w in words])
         done_symbols, done_words = [], []
@@ -144,10 +191,11 @@ def _encoding(shared, counts_only: bool):
     return run
 
 
-def encode(df: DataFrame, key: str, text: str, counts_only: bool = False, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The key column and ``ids`` of each row's text, or with ``counts_only`` their number ``tokens``."""
+def encode(df: DataFrame, key: str, text: str, counts_only: bool = False, vocabulary: str = VOCABULARY, keep: str | None = None) -> DataFrame:
+    """The key column and ``ids`` of each row's text, or with ``counts_only`` their number ``tokens``; ``keep`` is one more column to carry along."""
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = df.schema[key].dataType.simpleString()
+    # The key and what is kept travel as one value, so that columns of any name and type pass through.
+    rows = df.select(F.struct(F.col(key).alias("k"), *([F.col(keep).alias("kept")] if keep else [])).alias("key"), F.col(text).alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
     made = map_arrow(rows, _encoding(shared, counts_only), f"key {kind}, made {'long' if counts_only else 'array<int>'}")
-    return made.select(F.col("key").alias(key), F.col("made").alias("tokens" if counts_only else "ids"))
+    return made.select(F.col("key.k").alias(key), *([F.col("key.kept").alias(keep)] if keep else []), F.col("made").alias("tokens" if counts_only else "ids"))

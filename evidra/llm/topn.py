@@ -21,17 +21,36 @@ from pyspark.sql import functions as F
 from evidra.session import cut, join_small, map_arrow
 
 
+#: At least so many rows wait for a sort.
+LEAST_WAITING = 50_000
+
+
 class _Best:
-    """The n best (score, tie) of each group seen so far, in flat arrays."""
+    """The n best (score, tie) of each group seen so far, in flat arrays.
+
+    New rows wait until there are as many of them as rows held, and are then sorted in once: each row takes part in a
+    number of sorts that grows with the logarithm of the rows, however many groups there are.
+    """
 
     def __init__(self, n: int):
         self.n, self.numbers = n, {}
         self.group, self.score, self.tie = (np.empty(0, t) for t in (np.int64, np.float64, np.int64))
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.count = 0
 
     def add(self, groups: list[str], score: np.ndarray, tie: np.ndarray) -> None:
         numbers = self.numbers
         number = np.fromiter((numbers.setdefault(g, len(numbers)) for g in groups), np.int64, len(groups))
-        g, s, t = np.concatenate([self.group, number]), np.concatenate([self.score, score]), np.concatenate([self.tie, tie])
+        self.waiting.append((number, score, tie))
+        self.count += len(number)
+        if self.count >= max(LEAST_WAITING, len(self.group)):
+            self._sort_in()
+
+    def _sort_in(self) -> None:
+        if not self.waiting:
+            return
+        g, s, t = (np.concatenate(x) for x in zip((self.group, self.score, self.tie), *self.waiting))
+        self.waiting, self.count = [], 0
         order = np.lexsort((~t, -s, g))  # ~t falls as t rises and cannot overflow
         g, s, t = g[order], s[order], t[order]
         starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
@@ -41,6 +60,7 @@ class _Best:
 
     def bounds(self) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Groups with n rows here, and their n-th best key."""
+        self._sort_in()
         if not len(self.group):
             return [], self.score, self.tie
         last = self.place == self.n - 1

@@ -40,7 +40,8 @@ def test_round_trip():
     ids = json.loads(Path(VOCABULARY).read_text())["model"]["vocab"]
     from evidra.llm.tokenizer import _byte_letters
 
-    back = {i: bytes(_byte_letters().index(c) for c in t) for t, i in ids.items()}
+    byte = {c: b for b, c in enumerate(_byte_letters())}
+    back = {i: bytes(byte[c] for c in t) for t, i in ids.items()}
     for text, own in zip(TEXTS, mine(TEXTS)):
         assert b"".join(back[i] for i in own).decode() == (text or "")
 
@@ -57,3 +58,14 @@ def test_on_spark(spark):
 def test_portions():
     assert list(portions(["a" * 5, None, "b" * 5, "c" * 20, ""], 9)) == [(0, 2), (2, 3), (3, 4), (4, 5)] or list(portions(["a" * 5, None, "b" * 5, "c" * 20, ""], 9)) == [(0, 2), (2, 3), (3, 5)]
     assert list(portions([])) == []
+
+
+def test_long_runs_of_letters():
+    import time
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (900, 1001, 5000)] + ["漢字" * 3000, "ab" * 4000, "".join(r.choice("etaoin shrdlu") for _ in range(9000))]
+    assert mine(texts) == reference(texts)
+    began = time.perf_counter()
+    mine(["".join(r.choice("etaoinshrdlu") for _ in range(80_000))])
+    assert time.perf_counter() - began < 3

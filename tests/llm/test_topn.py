@@ -49,8 +49,25 @@ def test_bounds_hold_little_and_are_valid():
     scores = r.random(5000)
     for k in range(0, 5000, 500):
         best.add(["a"] * 250 + ["b"] * 250, scores[k : k + 500], np.arange(500))
+    best.bounds()  # sorts in what waits
     assert len(best.group) == 6
     names, low, _ = best.bounds()
     assert names == ["a", "b"]
     a = np.sort(np.concatenate([scores[k : k + 250] for k in range(0, 5000, 500)]))[-3]
     assert low[0] == a
+
+
+def test_many_groups_take_one_pass():
+    import time
+
+    import numpy as np
+
+    from evidra.llm.topn import _Best
+
+    r = np.random.default_rng(1)
+    group, score = r.integers(0, 300_000, 1_000_000), r.random(1_000_000)
+    best, began = _Best(3), time.perf_counter()
+    for i in range(0, 1_000_000, 10_000):
+        best.add([str(g) for g in group[i : i + 10_000]], score[i : i + 10_000], np.zeros(10_000, np.int64))
+    best.bounds()
+    assert time.perf_counter() - began < 6
