@@ -1,15 +1,18 @@
 """Deeply nested discussion records to flat tables that keep parent and child links.
 
-Every node gets a state from a bottom-up tree automaton: the state of a node follows from its kind, the states of its telling
-fields, and the set of the states of the nodes below it, which are found first. So two nodes share a state only if they are
-alike down to the leaves, and a difference at any depth gives another state to all above it. In raw threads the nodes below
-are the nested replies, in normalized discussions those whose parent reference names the node. The state routes a node to
-the typed table of its kind and, in it, to its variant; a common supertype table keeps owner, kind, id, parent and place of
-every node.
-
-A state is written as kind and digest, as spelled-out states grow with the tree below. How often a state stands below and in
-which order does not count. The column ``variant`` spells out the topmost level. Parent references that run in a cycle have
-no leaves: nodes on or above one take the mark ``ring`` in place of the states that cannot be found.
+Every node gets a state from a bottom-up tree automaton that runs in post-order. The state of a value follows from its type
+and, for objects and arrays, from the states of all fields and elements in it; the state of a node follows from its kind,
+its own value's state without the nodes below it, and what the states of its child nodes hold: their own states and those
+below them, as a set. There are finitely many states for finitely many field names and types, however deep the trees are:
+a chain of alike replies does not make new states. Two nodes share a state only if the shapes that occur in and below them
+are the same. In raw threads the nodes below are the nested replies, in normalized discussions those whose parent reference
+names the node. The state routes a node to the typed table of its kind and, in it, to its variant; a common supertype table
+keeps owner, kind, id, parent and place of every node.
+
+A state is numbered by a digest of kind and shapes, so that all tasks number alike without a shared table. How often a
+shape stands below and in which order does not count. The column ``variant`` spells out the telling fields of the topmost
+level. Parent references that run in a cycle have no leaves: nodes on or above one take the mark ``ring`` in place of the
+states that cannot be found.
 
 Defined cases: a value that is null or no JSON gives no rows; a JSON string that holds JSON counts as that JSON; elements
 of other types or kinds are no rows, nor is anything below them, yet they count in the places of the others; missing ids and
@@ -76,10 +79,40 @@ class TreeAutomaton:
         return None, {}
 
 
+    def value(self, value: Any) -> str:
+        """The state of a value of any depth, from its leaves up, without recursion."""
+        if not isinstance(value, (dict, list)) or not value:
+            return self.leaf(value)
+        done: dict[int, str] = {}
+        todo: list[tuple[Any, bool]] = [(value, False)]
+        while todo:
+            at, opened = todo.pop()
+            inner = list(at.values()) if isinstance(at, dict) else at
+            if not opened:
+                todo.append((at, True))
+                todo += [(x, False) for x in inner if isinstance(x, (dict, list)) and x]
+                continue
+            state = lambda x: done[id(x)] if isinstance(x, (dict, list)) and x else self.leaf(x)
+            if isinstance(at, dict):
+                done[id(at)] = self.named("{" + ",".join(sorted(f"{k}:{state(v)}" for k, v in at.items())) + "}")
+            else:
+                done[id(at)] = self.named("[" + ",".join(sorted({state(x) for x in at})) + "]")
+        return done[id(value)]
+
+    def own(self, data: dict, below: tuple[str, ...]) -> str:
+        """The state of a node's own value: of all its fields, those that hold nodes below by their type alone."""
+        return self.named("{" + ",".join(sorted(f"{k}:{self.leaf(v) if k in below else self.value(v)}" for k, v in data.items())) + "}")
+
+    @staticmethod
+    @lru_cache(1 << 16)
+    def named(shape: str) -> str:
+        """A short name of a shape."""
+        return blake2b(shape.encode("utf-8", "surrogatepass"), digest_size=6).hexdigest()
+
     @staticmethod
     @lru_cache(1 << 16)
     def state(kind: str, own: str, below: frozenset[str]) -> str:
-        """The transition of a node: its kind, its own part and the states of the nodes below."""
+        """The transition of a node: its kind, its own part and what the states below hold."""
         return f"{kind}:{blake2b(chr(0).join((own, *sorted(below))).encode(), digest_size=8).hexdigest()}"
 
 
@@ -105,15 +138,15 @@ def _text(value: Any) -> str | None:
 Row = tuple
 
 
-def _more(data: dict, parent: str, pos: int, children: list, tells: tuple[str, ...], depth: float | None) -> list[Row]:
-    """A placeholder and the ids it stands for."""
+def _more(data: dict, parent: str, pos: int, children: list, tells: tuple[str, ...], depth: float | None) -> tuple[list[Row], set[str]]:
+    """A placeholder and the ids it stands for, and what its state holds."""
     own = text_or_empty(data.get("id"))
     ids: list[Row] = []
     for place, child in enumerate(children):
-        leaf = AUTOMATON.leaf(child)
-        ids.append((MORE_CHILD, text_or_empty(child), own, place, leaf, None, None, None, None, None, None, AUTOMATON.state(MORE_CHILD, leaf, frozenset())))
-    shape = AUTOMATON.shape(data, tells)
-    return [(MORE, own, parent, pos, shape, depth, None, None, None, None, len(children), AUTOMATON.state(MORE, shape, frozenset(x[-1] for x in ids))), *ids]
+        leaf = AUTOMATON.value(child)
+        ids.append((MORE_CHILD, text_or_empty(child), own, place, AUTOMATON.leaf(child), None, None, None, None, None, None, AUTOMATON.state(MORE_CHILD, leaf, frozenset())))
+    shape, mine, below = AUTOMATON.shape(data, tells), AUTOMATON.own(data, ("children", "childIds")), {x[-1] for x in ids}
+    return [(MORE, own, parent, pos, shape, depth, None, None, None, None, len(children), AUTOMATON.state(MORE, mine, frozenset(below))), *ids], {f"{MORE}:{mine}", *below}
 
 
 def version_rows(text: str | None, typed: bool = True) -> Iterator[Row]:
@@ -129,50 +162,54 @@ def _reference(text: str) -> str:
     return text.strip().lower().removeprefix("t1_")
 
 
-def _states_by_links(comments: list[Row], below: dict[str, set[str]]) -> list[str]:
-    """States of comments that are linked by parent reference, from the leaves up; ``below`` holds the states already known under an id.
+def _states_by_links(comments: list[Row], own: list[str], below: dict[str, set[str]]) -> list[str]:
+    """States of comments that are linked by parent reference, from the leaves up; ``own`` are the states of their own values,
+    ``below`` holds what is already known under an id.
 
     Comments of one id share what is below it. An id is ready once all comments that name it as parent have their states.
     """
     groups, waiting = defaultdict(list), defaultdict(int)
-    for i, (_, own, parent, *_) in enumerate(comments):
+    for i, (_, name, parent, *_) in enumerate(comments):
         # A comment without an id can be named by none.
-        groups[_reference(own) or i].append(i)
+        groups[_reference(name) or i].append(i)
         waiting[_reference(parent)] += 1
     states = [""] * len(comments)
     ready = [k for k in groups if not waiting.get(k)]
     while ready:
         key = ready.pop()
+        held = below.get(key, set())
         for i in groups.pop(key):
-            states[i] = AUTOMATON.state(COMMENT, comments[i][4], frozenset(below.get(key, ())))
+            states[i] = AUTOMATON.state(COMMENT, own[i], frozenset(held))
             above = _reference(comments[i][2])
-            below[above].add(states[i])
+            below[above] |= {f"{COMMENT}:{own[i]}", *held}
             waiting[above] -= 1
             if not waiting[above] and above in groups:
                 ready.append(above)
     for key, members in groups.items():
         for i in members:
-            states[i] = AUTOMATON.state(COMMENT, comments[i][4], frozenset(below.get(key, ())) | {RING})
+            states[i] = AUTOMATON.state(COMMENT, own[i], frozenset(below.get(key, ())) | {RING})
     return states
 
 
 def _version_nodes(text: str | None) -> Iterator[Row]:
     doc = unwrap(parse(text))
     comments: list[Row] = []
+    shapes: list[str] = []
     for pos, x in enumerate(elements(member(doc, "comments"))):
         x = unwrap(x)
         if isinstance(x, dict):
             own = COMMENT, text_or_empty(x.get("id")), text_or_empty(x.get("parentId")), pos
             comments.append((*own, AUTOMATON.shape(x, _VERSION_TELLS), _number(x.get("depth")), _text(x.get("author")), _text(x.get("body")), _number(x.get("score")), _number(x.get("createdUtc")), None))
+            shapes.append(AUTOMATON.own(x, ()))
     rest: list[Row] = []
     below: dict[str, set[str]] = defaultdict(set)
     for pos, x in enumerate(elements(member(doc, "unresolvedMore"))):
         x = unwrap(x)
         if isinstance(x, dict):
-            more = _more(x, text_or_empty(x.get("parentId")), pos, elements(x.get("childIds")), _VERSION_MORE, _number(x.get("depth")))
-            below[_reference(more[0][2])].add(more[0][-1])
+            more, held = _more(x, text_or_empty(x.get("parentId")), pos, elements(x.get("childIds")), _VERSION_MORE, _number(x.get("depth")))
+            below[_reference(more[0][2])] |= held
             rest += more
-    for row, state in zip(comments, _states_by_links(comments, below)):
+    for row, state in zip(comments, _states_by_links(comments, shapes, below)):
         yield *row, state
     yield from rest
 
@@ -199,10 +236,10 @@ def _raw_nodes(text: str | None) -> Iterator[Row]:
         return
     top = elements(member(unwrap(member(unwrap(listings[1]), "data")), "children"))
     out: list[Row] = []
-    # Of each open comment: what is left below it, its id and level, its place in ``out``, and the states found below.
-    todo: list[tuple] = [(enumerate(top), _post_id(unwrap(listings[0])), 0, -1, set())]
+    # Of each open comment: what is left below it, its id and level, its place in ``out``, what the states below hold, and its own value's state.
+    todo: list[tuple] = [(enumerate(top), _post_id(unwrap(listings[0])), 0, -1, set(), "")]
     while todo:
-        rest, parent, level, at, states = todo[-1]
+        rest, parent, level, at, states, mine = todo[-1]
         for pos, x in rest:
             x = unwrap(x)
             kind, data = AUTOMATON.raw(x)
@@ -210,18 +247,18 @@ def _raw_nodes(text: str | None) -> Iterator[Row]:
                 own = text_or_empty(data.get("name")) or "t1_" + data["id"]
                 below = elements(member(unwrap(member(unwrap(data.get("replies")), "data")), "children"))
                 out.append((COMMENT, own, parent, pos, AUTOMATON.shape(data, _COMMENT_TELLS) + "/" + AUTOMATON.below(below), level, _text(data.get("author")), _text(data.get("body")), _number(data.get("score")), _number(data.get("created_utc")), None))
-                todo.append((enumerate(below), own, level + 1, len(out) - 1, set()))
+                todo.append((enumerate(below), own, level + 1, len(out) - 1, set(), AUTOMATON.own(data, ("replies",))))
                 break
             if kind == MORE:
-                more = _more(data, parent, pos, elements(data.get("children")), _MORE_TELLS, level)
-                states.add(more[0][-1])
+                more, held = _more(data, parent, pos, elements(data.get("children")), _MORE_TELLS, level)
+                states |= held
                 out += more
         else:
             todo.pop()
             if todo:
-                state = AUTOMATON.state(COMMENT, out[at][4], frozenset(states))
-                out[at] = (*out[at], state)
-                todo[-1][-1].add(state)
+                out[at] = (*out[at], AUTOMATON.state(COMMENT, mine, frozenset(states)))
+                todo[-1][4].update(states)
+                todo[-1][4].add(f"{COMMENT}:{mine}")
     yield from out
 
 
