@@ -1,10 +1,16 @@
 """Parent-child rows to full hierarchies: root, depth, path, descendants and cycles.
 
 Every node has at most one parent, so a hierarchy is a forest whose trees may hang on an outer anchor (the post), end at a
-node without a known parent (orphan), or run into a cycle. The nodes of one scope (thread) contain whole connected
-components. Scopes of up to ``max_block`` nodes are co-located and walked by an iterative depth-first traversal with node
-colouring. A larger scope is never gathered in one task: pointer doubling over joins finds its components, in a number of
-rounds that grows with the logarithm of the depth; it yields the same root, depth and state.
+node without a known parent (orphan), or run into a cycle. First the connected components are found; each component is
+co-located in one task and walked there by one iterative depth-first traversal with node colouring, from its head down. On
+the way down a node gets its depth and path, on the way up its number of descendants and the sum of their values. A ring's
+nodes head the trees below them; the parent link that closes the ring is its back edge.
+
+No link leaves a scope (thread), so a scope of up to ``max_block`` nodes is co-located as it is, and the components are found
+within the task by a union of linked nodes. A larger scope is never gathered: pointer doubling over joins finds the component
+of each node, in a number of rounds that grows with the logarithm of the depth, and its components are then spread over the
+tasks. A single component beyond ``max_block`` nodes keeps what doubling has found; its descendants are counted and summed
+over the same pointers.
 
 A component is named by its ``root``: each has exactly one topmost node, or one cycle whose least id it is. The nodes on the
 cycle itself are marked ``on_ring``, apart from those whose chain leads into it; ``back_edges`` gives the link that closes it.
@@ -46,46 +52,126 @@ def latest_nodes(df: DataFrame, node: str, parent: str, scope: str, version: str
     return best.select("node", "best.parent", F.coalesce("best.scope", F.lit("")).alias("scope"), "best.kept")
 
 
-def walk_parents(nodes: list[str], parents: list[str | None], scopes: list[str]) -> tuple[list[int], list[int], list[str], bytearray]:
-    """Root index, depth, end and ring mark of each node of whole scopes.
+def components(up: list[int]) -> list[int]:
+    """The component of each node, as the index of one of its nodes; ``up`` holds the parent's index or a negative number."""
+    mark = list(range(len(up)))
+
+    def find(x: int) -> int:
+        while mark[x] != x:
+            mark[x] = mark[mark[x]]
+            x = mark[x]
+        return x
+
+    for i, p in enumerate(up):
+        if p >= 0:
+            a, b = find(i), find(p)
+            if a != b:
+                mark[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(up))]
 
-    Depth-first along the parent links with colours: a white node is pushed, a grey one met again closes a cycle (back
-    edge), a black one or an end of the chain lets the stack unwind. For a cycle the root is the node of the smallest id on
-    it and the depth -1; a chain that ends at the anchor has its topmost node as root.
+
+class Forest:
+    """Whole components, walked one after another.
+
+    Of each node its root's index, depth, end, ring mark, number of nodes below and sum of values from it down; ``ways`` gives
+    the nodes in depth-first order. For a cycle the root is the node of the least id on it and the depth -1; a chain that ends
+    at the anchor has its topmost node as root.
     """
-    index = {(s, n): i for i, (n, s) in enumerate(zip(nodes, scopes))}
-    up = [-1 if p is None else -2 if p == s else index.get((s, p), -1) for p, s in zip(parents, scopes)]
-    size = len(nodes)
-    colour, ring_mark, root, depth, end = bytearray(size), bytearray(size), [0] * size, [0] * size, [""] * size
-    for start in range(size):
-        if colour[start]:
-            continue
-        stack, at = [], start
+
+    def __init__(self, nodes: list[str], parents: list[str | None], scopes: list[str], values: list | None = None):
+        index = {(s, n): i for i, (n, s) in enumerate(zip(nodes, scopes))}
+        self.nodes = nodes
+        self.up = [-1 if p is None else -2 if p == s else index.get((s, p), -1) for p, s in zip(parents, scopes)]
+        size = len(nodes)
+        self.root, self.depth, self.end, self.ring = [0] * size, [0] * size, [""] * size, bytearray(size)
+        self.level, self.below = [0] * size, [0] * size
+        self.total = [v or 0 for v in values] if values is not None else [0] * size
+        self.down: list[list[int]] = [[] for _ in nodes]
+        for i, p in enumerate(self.up):
+            if p >= 0:
+                self.down[p].append(i)
+        members: dict[int, list[int]] = {}
+        for i, c in enumerate(components(self.up)):
+            members.setdefault(c, []).append(i)
+        self.colour = bytearray(size)
+        self.heads: list[list[int]] = [self._walk(m) for m in members.values()]
+
+    def _walk(self, members: list[int]) -> list[int]:
+        """One component: its heads, and the marks of all its nodes."""
+        up, colour = self.up, self.colour
+        at, trail = members[0], []
         while at >= 0 and colour[at] == _WHITE:
             colour[at] = _GREY
-            stack.append(at)
+            trail.append(at)
             at = up[at]
-        if at >= 0 and colour[at] == _GREY:
-            first = stack.index(at)
-            ring = stack[first:]
-            head = min(ring, key=nodes.__getitem__)
+        if at >= 0:  # a grey node met again: the link to it is a back edge
+            ring = trail[trail.index(at) :]
+            head = min(ring, key=self.nodes.__getitem__)
+            heads, end = ring, CYCLE
             for x in ring:
-                root[x], depth[x], end[x], colour[x], ring_mark[x] = head, -1, CYCLE, _BLACK, 1
-            del stack[first:]
-        elif at < 0:
-            top = stack.pop()
-            root[top], depth[top], end[top], colour[top] = top, 0, POST if at == -2 else ORPHAN, _BLACK
-            at = top
-        r, d, e = root[at], depth[at], end[at]
-        while stack:
-            x = stack.pop()
-            d += e != CYCLE
-            root[x], depth[x], end[x], colour[x] = r, d, e, _BLACK
-    return root, depth, end, ring_mark
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    """Rows sorted by scope, cut where a scope ends once ``rows`` are together."""
+                self.ring[x] = 1
+        else:
+            head = trail[-1]
+            heads, end = [head], POST if at == -2 else ORPHAN
+        for x in trail:
+            colour[x] = _WHITE
+        for start in heads:
+            colour[start], stack = _GREY, [(start, iter(self.down[start]))]
+            while stack:
+                x, rest = stack[-1]
+                for child in rest:
+                    if colour[child] == _WHITE and not self.ring[child]:
+                        colour[child] = _GREY
+                        self.level[child] = len(stack)
+                        stack.append((child, iter(self.down[child])))
+                        break
+                else:
+                    stack.pop()
+                    colour[x] = _BLACK
+                    self.root[x], self.end[x], self.depth[x] = head, end, -1 if end == CYCLE else self.level[x]
+                    if stack:
+                        over = stack[-1][0]
+                        self.below[over] += self.below[x] + 1
+                        self.total[over] += self.total[x]
+        if end == CYCLE:
+            whole = sum(self.total[x] for x in heads)
+            for x in heads:  # all others of the component are below each node on the ring
+                self.below[x], self.total[x] = len(members) - 1, whole
+        return heads
+
+    def ways(self) -> Iterator[list[int]]:
+        """The nodes from the head down to each node, for all nodes; the list is reused."""
+        for heads in self.heads:
+            for start in heads:
+                way, todo = [], [(start, 0)]
+                while todo:
+                    x, level = todo.pop()
+                    del way[level:]
+                    way.append(x)
+                    yield way
+                    todo += [(child, level + 1) for child in self.down[x] if not self.ring[child]]
+
+    def places(self) -> dict[int, tuple[list[int], int]]:
+        """Of each node on a ring its ring, upwards by parent links, and its place there."""
+        found: dict[int, tuple[list[int], int]] = {}
+        for heads in self.heads:
+            if self.ring[heads[0]]:
+                ring, at = [], heads[0]
+                for _ in heads:
+                    ring.append(at)
+                    at = self.up[at]
+                found.update((x, (ring, i)) for i, x in enumerate(ring))
+        return found
+
+
+def walk_parents(nodes: list[str], parents: list[str | None], scopes: list[str]) -> tuple[list[int], list[int], list[str], bytearray]:
+    """Root index, depth, end and ring mark of each node of whole components."""
+    f = Forest(nodes, parents, scopes)
+    return f.root, f.depth, f.end, f.ring
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int, by: str = "part") -> Iterator[pa.Table]:
+    """Rows sorted by the scope or component they are co-located by, cut where one ends once ``rows`` are together."""
     held: list[pa.RecordBatch] = []
     count = 0
     for batch in batches:
@@ -96,7 +182,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
         if count < rows:
             continue
         all_held = pa.Table.from_batches(held)
-        scopes = all_held.column("scope").to_pylist()
+        scopes = all_held.column(by).to_pylist()
         last, k = scopes[-1], len(scopes)
         while k and scopes[k - 1] == last:
             k -= 1
@@ -108,32 +194,65 @@ def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _walker(with_paths: bool):
+#: So many ids of paths, or pairs, are written at once.
+_CHUNK = 500_000
+
+
+def _walker(with_paths: bool, rings_as_heads: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, 20_000):
-            nodes, parents, scopes = (block.column(c).to_pylist() for c in ("node", "parent", "scope"))
-            root, depth, end, ring = walk_parents(nodes, parents, scopes)
+            columns = [block.column(c).to_pylist() for c in ("node", "parent", "scope", "value")]
+            nodes, forest = columns[0], Forest(*columns)
             out = {
-                "node": block.column("node"), "scope": block.column("scope"), "root": pa.array([nodes[r] for r in root], pa.string()),
-                "real_depth": pa.array(depth, pa.int32()), "chain_end": pa.array(end, pa.string()), "on_ring": pa.array(map(bool, ring), pa.bool_()), "parent": block.column("parent"), "kept": block.column("kept"),
+                "node": block.column("node"), "scope": block.column("scope"), "root": pa.array([nodes[r] for r in forest.root], pa.string()),
+                "real_depth": pa.array(forest.depth, pa.int32()), "chain_end": pa.array(forest.end, pa.string()), "on_ring": pa.array(map(bool, forest.ring), pa.bool_()),
+                "below": pa.array(forest.below, pa.int64()), "total": pa.array(forest.total, pa.int64()), "parent": block.column("parent"), "kept": block.column("kept"),
             }
-            if with_paths:
-                out["path"] = pa.array(_paths(nodes, parents, scopes, depth), pa.list_(pa.string()))
-            yield from pa.table(out).combine_chunks().to_batches()
+            whole = pa.table(out).combine_chunks()
+            if not with_paths:
+                yield from whole.to_batches()
+                continue
+            # Paths in depth-first order, written as they are found: never more than a chunk of ids is held.
+            order, paths, size = [], [], 0
+            for way in forest.ways():
+                x = way[-1]
+                order.append(x)
+                paths.append([nodes[i] for i in way] if rings_as_heads or forest.end[x] != CYCLE else None)
+                size += len(way)
+                if size > _CHUNK:
+                    yield from whole.take(order).append_column("path", pa.array(paths, pa.list_(pa.string()))).combine_chunks().to_batches()
+                    order, paths, size = [], [], 0
+            if order:
+                yield from whole.take(order).append_column("path", pa.array(paths, pa.list_(pa.string()))).combine_chunks().to_batches()
 
     return run
 
 
-def _paths(nodes: list[str], parents: list[str | None], scopes: list[str], depth: list[int]) -> list[list[str] | None]:
-    """From the topmost node to the node itself; null where there is a cycle."""
-    index = {(s, n): i for i, (n, s) in enumerate(zip(nodes, scopes))}
-    paths: list[list[str] | None] = [None] * len(nodes)
-    for i in sorted(range(len(nodes)), key=depth.__getitem__):
-        if depth[i] == 0:
-            paths[i] = [nodes[i]]
-        elif depth[i] > 0:
-            paths[i] = [*paths[index[scopes[i], parents[i]]], nodes[i]]
-    return paths
+def _pairing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(scope, ancestor, descendant, distance) for every node and each other node above it, by the shortest way."""
+    for block in _blocks(batches, 20_000):
+        columns = [block.column(c).to_pylist() for c in ("node", "parent", "scope")]
+        nodes, scopes, forest = columns[0], columns[2], Forest(*columns)
+        places = forest.places()
+        rows: list[list] = [[], [], [], []]
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.string(), pa.string(), pa.int32()))], ["scope", "ancestor", "descendant", "distance"])
+
+        for way in forest.ways():
+            x, level = way[-1], len(way) - 1
+            above = [(a, level - i) for i, a in enumerate(way[:-1])]
+            if way[0] in places:
+                ring, place = places[way[0]]
+                above += [(ring[(place + k) % len(ring)], level + k) for k in range(1, len(ring))]
+            for a, far in above:
+                for column, value in zip(rows, (scopes[x], nodes[a], nodes[x], far)):
+                    column.append(value)
+            if len(rows[0]) > _CHUNK:
+                yield made()
+                rows = [[], [], [], []]
+        if rows[0]:
+            yield made()
 
 
 def _double(nodes: DataFrame, with_paths: bool) -> DataFrame:
@@ -142,7 +261,7 @@ def _double(nodes: DataFrame, with_paths: bool) -> DataFrame:
     linked = nodes.join(known, ["scope", "parent"], "left")
     to_post = F.coalesce(F.col("parent") == F.col("scope"), F.lit(False))
     state = cut(linked.select(
-        "scope", "node", "parent", "kept",
+        "scope", "node", "parent", "kept", "value", F.lit(0).cast("long").alias("below"), F.coalesce("value", F.lit(0)).cast("long").alias("total"),
         F.when(~to_post & F.col("there"), F.col("parent")).alias("ptr"),
         F.when(to_post, POST).when(F.col("there").isNull(), ORPHAN).alias("chain_end"),
         F.lit(0).cast("long").alias("dist"), F.col("node").alias("top"), F.col("node").alias("least"),
@@ -153,41 +272,67 @@ def _double(nodes: DataFrame, with_paths: bool) -> DataFrame:
         if state.where("ptr IS NOT NULL").isEmpty():
             break
         ahead = state.select("scope", F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("chain_end").alias("end2"), F.col("dist").alias("dist2"), F.col("top").alias("top2"), F.col("least").alias("least2"), *([F.col("path").alias("path2")] if with_paths else []))
-        moving = state.where("ptr IS NOT NULL").join(ahead, ["scope", "ptr"])
+        # What lies up to twice as far below: the own part and the parts of those whose pointer comes here.
+        arriving = state.where("ptr IS NOT NULL").groupBy("scope", F.col("ptr").alias("node")).agg(F.sum(F.col("below") + 1).alias("more_below"), F.sum("total").alias("more_total"))
+        grown = state.join(arriving, ["scope", "node"], "left").withColumn("below", F.col("below") + F.coalesce("more_below", F.lit(0))).withColumn("total", F.col("total") + F.coalesce("more_total", F.lit(0))).drop("more_below", "more_total")
+        moving = grown.where("ptr IS NOT NULL").join(ahead, ["scope", "ptr"])
         moved = moving.select(
-            "scope", "node", "parent", "kept", F.col("ptr2").alias("ptr"), F.col("end2").alias("chain_end"), (F.col("dist") + F.col("dist2")).alias("dist"),
+            "scope", "node", "parent", "kept", "value", "below", "total", F.col("ptr2").alias("ptr"), F.col("end2").alias("chain_end"), (F.col("dist") + F.col("dist2")).alias("dist"),
             F.when(F.col("ptr2").isNull(), F.col("top2")).otherwise(F.col("top")).alias("top"), F.least("least", "least2").alias("least"),
             *([F.concat("path2", "path").alias("path")] if with_paths else []),
         )
-        state = cut(state.where("ptr IS NULL").unionByName(moved))
+        state = cut(grown.where("ptr IS NULL").unionByName(moved))
     # What still moves after so many doublings runs in a cycle; its pointer is a node on it, whose least id covers the whole cycle.
-    ended = state.where("ptr IS NULL").select("node", "scope", F.col("top").alias("root"), F.col("dist").cast("int").alias("real_depth"), "chain_end", F.lit(False).alias("on_ring"), "parent", "kept", *(["path"] if with_paths else []))
-    moving = state.where("ptr IS NOT NULL").select("scope", "node", "ptr", "parent", "kept")
+    ended = state.where("ptr IS NULL").select("node", "scope", F.col("top").alias("root"), F.col("dist").cast("int").alias("real_depth"), "chain_end", F.lit(False).alias("on_ring"), "below", "total", "parent", "kept", "value", *(["path"] if with_paths else []))
+    moving = state.where("ptr IS NOT NULL").select("scope", "node", "ptr", "parent", "kept", "value", "below", "total")
     heads = state.select("scope", F.col("node").alias("ptr"), F.col("least").alias("root"))
     # After that many steps every node of a cycle is the pointer of another of its nodes, and no other node is a pointer.
     ring = moving.select("scope", F.col("ptr").alias("node")).distinct().withColumn("hit", F.lit(True))
-    looping = moving.join(heads, ["scope", "ptr"]).join(ring, ["scope", "node"], "left").select("node", "scope", "root", F.lit(-1).alias("real_depth"), F.lit(CYCLE).alias("chain_end"), F.coalesce("hit", F.lit(False)).alias("on_ring"), "parent", "kept", *([F.lit(None).cast("array<string>").alias("path")] if with_paths else []))
-    return ended.unionByName(looping)
+    looping = moving.join(heads, ["scope", "ptr"]).join(ring, ["scope", "node"], "left")
+    sizes = looping.groupBy("scope", "root").agg((F.count("*") - 1).alias("ring_below"), F.sum(F.coalesce("value", F.lit(0))).cast("long").alias("ring_total"))
+    hit = F.coalesce("hit", F.lit(False))
+    around = looping.join(sizes, ["scope", "root"]).select("node", "scope", "root", F.lit(-1).alias("real_depth"), F.lit(CYCLE).alias("chain_end"), hit.alias("on_ring"), F.when(hit, F.col("ring_below")).otherwise(F.col("below")).alias("below"), F.when(hit, F.col("ring_total")).otherwise(F.col("total")).alias("total"), "parent", "kept", "value", *([F.lit(None).cast("array<string>").alias("path")] if with_paths else []))
+    return ended.unionByName(around)
 
 
-def hierarchy(nodes: DataFrame, with_paths: bool = False, max_block: int = MAX_BLOCK) -> DataFrame:
-    """Columns node, scope, root, real_depth, chain_end, on_ring, parent, kept and, on demand, path, for nodes as ``latest_nodes`` gives them.
-
-    ``chain_end`` is ``post``, ``orphan`` or ``cycle``. ``path`` holds as many ids as the node is deep, so ask for it only
-    where the paths themselves are wanted.
-    """
-    nodes = cut(nodes)
+def _split(nodes: DataFrame, max_block: int) -> tuple[DataFrame, int, DataFrame | None]:
+    """Nodes of scopes that fit into a task, how many nodes there are in all, and those of larger scopes if there are any."""
     sizes = nodes.groupBy("scope").count()
     total, large = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.when(F.col("count") > max_block, 1))).first()
-    schema = "node string, scope string, root string, real_depth int, chain_end string, on_ring boolean, parent string, kept " + nodes.schema["kept"].dataType.simpleString() + (", path array<string>" if with_paths else "")
-    usual = nodes
-    if large:
-        hot = sizes.where(F.col("count") > max_block).select("scope")
-        usual = join_small(nodes, hot, ["scope"], "left_anti", large)
-    together = usual.repartition(in_parts(total, 60_000), "scope").sortWithinPartitions("scope")
-    found = map_arrow(together, _walker(with_paths), schema)
-    if large:
-        found = found.unionByName(_double(join_small(nodes, hot, ["scope"], "left_semi", large), with_paths))
+    if not large:
+        return nodes, total, None
+    hot = sizes.where(F.col("count") > max_block).select("scope")
+    return join_small(nodes, hot, ["scope"], "left_anti", large), total, join_small(nodes, hot, ["scope"], "left_semi", large)
+
+
+def _located(nodes: DataFrame, rows: int, *by: str) -> DataFrame:
+    """Nodes co-located and sorted by the columns that tell their scope or component, named by ``part``."""
+    parted = nodes.withColumn("part", F.concat_ws("\u0000", *by)).select("node", "parent", "scope", "kept", "value", "part")
+    return parted.repartition(in_parts(rows, 60_000), "part").sortWithinPartitions("part")
+
+
+def hierarchy(nodes: DataFrame, with_paths: bool = False, max_block: int = MAX_BLOCK, value: str | None = None, rings_as_heads: bool = False) -> DataFrame:
+    """Columns node, scope, root, real_depth, chain_end, on_ring, below, total, parent, kept and, on demand, path, for nodes as ``latest_nodes`` gives them.
+
+    ``chain_end`` is ``post``, ``orphan`` or ``cycle``; ``below`` is the number of descendants, ``total`` the sum of ``value``
+    over a node and all of them. ``path`` holds as many ids as the node is deep, so ask for it only where the paths themselves
+    are wanted; of cycles it is null unless ``rings_as_heads`` lets it start at the ring.
+    """
+    nodes = cut(nodes.withColumn("value", F.col(value).cast("long") if value else F.lit(None).cast("long")))
+    schema = "node string, scope string, root string, real_depth int, chain_end string, on_ring boolean, below long, total long, parent string, kept " + nodes.schema["kept"].dataType.simpleString() + (", path array<string>" if with_paths else "")
+    usual, total, large = _split(nodes, max_block)
+    walker = _walker(with_paths, rings_as_heads)
+    found = map_arrow(_located(usual, total, "scope"), walker, schema)
+    if large is None:
+        return found
+    doubled = cut(_double(large, with_paths))
+    sizes = doubled.groupBy("scope", "root").count()
+    many, giants = sizes.agg(F.coalesce(F.sum(F.when(F.col("count") <= max_block, F.col("count"))), F.lit(0)), F.count_if(F.col("count") > max_block)).first()
+    giant = sizes.where(F.col("count") > max_block).select("scope", "root")
+    found = found.unionByName(map_arrow(_located(join_small(doubled, giant, ["scope", "root"], "left_anti", giants), many, "scope", "root"), walker, schema))
+    if giants:
+        kept = join_small(doubled, giant, ["scope", "root"], "left_semi", giants).drop("value")
+        found = found.unionByName(with_rings_as_heads(kept) if with_paths and rings_as_heads else kept)
     return found
 
 
@@ -203,17 +348,27 @@ def with_rings_as_heads(found: DataFrame) -> DataFrame:
     return found.where(F.col("chain_end") != CYCLE).unionByName(cycles.drop("path").join(trees, ["scope", "node"]))
 
 
-def descendant_counts(whole: DataFrame) -> DataFrame:
-    """Columns scope, node, below, for nodes with any descendants, of what ``with_rings_as_heads`` gives. A node on a ring has all others of its component below it."""
-    above = whole.select("scope", F.explode(F.slice("path", 1, F.size("path") - 1)).alias("node")).groupBy("scope", "node").agg(F.count("*").alias("below"))
-    cycles = whole.where(F.col("chain_end") == CYCLE)
-    sizes = cycles.groupBy("scope", "root").agg((F.count("*") - 1).alias("below"))
-    ring = cycles.where("on_ring").select("scope", "root", "node")
-    return above.join(ring, ["scope", "node"], "left_anti").unionByName(ring.join(sizes, ["scope", "root"]).select("scope", "node", "below"))
-
-
-def all_descendants(whole: DataFrame) -> DataFrame:
-    """(scope, ancestor, descendant, distance) for every node and each other node below it, rings included, by the shortest way down."""
+def all_descendants(nodes: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
+    """(scope, ancestor, descendant, distance) for every node and each other node below it, rings included, by the shortest way
+    down. The pairs come from the walk itself; only those of single components beyond ``max_block`` are made of their paths."""
+    nodes = cut(nodes.withColumn("value", F.lit(None).cast("long")))
+    usual, total, large = _split(nodes, max_block)
+    schema = "scope string, ancestor string, descendant string, distance int"
+    pairs = map_arrow(_located(usual, total, "scope"), _pairing, schema)
+    if large is None:
+        return pairs
+    doubled = cut(_double(large, False))
+    sizes = doubled.groupBy("scope", "root").count()
+    many, giants = sizes.agg(F.coalesce(F.sum(F.when(F.col("count") <= max_block, F.col("count"))), F.lit(0)), F.count_if(F.col("count") > max_block)).first()
+    giant = sizes.where(F.col("count") > max_block).select("scope", "root")
+    pairs = pairs.unionByName(map_arrow(_located(join_small(doubled, giant, ["scope", "root"], "left_anti", giants), many, "scope", "root"), _pairing, schema))
+    if giants:
+        rest = join_small(doubled, giant, ["scope", "root"], "left_semi", giants).select("node", "parent", "scope", "kept")
+        pairs = pairs.unionByName(_pairs_of_paths(hierarchy(rest, True, max_block, rings_as_heads=True)))
+    return pairs
+
+
+def _pairs_of_paths(whole: DataFrame) -> DataFrame:
     pairs = descendants(whole.withColumn("real_depth", F.size("path") - 1)).where("distance > 0")
     cycles = whole.where(F.col("chain_end") == CYCLE)
     # Places on a ring, counted down from its least node, whose own parent link closes the ring.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.operators.hierarchy import all_descendants, back_edges, descendant_counts, hierarchy, latest_nodes, with_rings_as_heads
+from evidra.operators.hierarchy import all_descendants, back_edges, hierarchy, latest_nodes
 from evidra.operators.nested import flatten, subtype_tables
 from evidra.operators.snapshots import COMMENT_FIELDS, MORE_FIELDS, POST_FIELDS, snapshot_changes
 from evidra.session import table
@@ -46,9 +46,12 @@ def p4_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nodes(spark, sf_dir).groupBy("owner", "node_kind", "variant", "state").agg(F.count("*").alias("nodes"))
 
 
-def _comments(spark: SparkSession, sf_dir: str, with_paths: bool) -> DataFrame:
-    nodes = latest_nodes(table(spark, sf_dir, "deep_comments"), "id", "parent_id", "thread_id", "fetched_at", "row_id", "depth")
-    return hierarchy(nodes, with_paths)
+def _latest_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_nodes(table(spark, sf_dir, "deep_comments"), "id", "parent_id", "thread_id", "fetched_at", "row_id", "depth")
+
+
+def _comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy(_latest_comments(spark, sf_dir))
 
 
 def _with_kind(kind: str, c: str):
@@ -56,7 +59,7 @@ def _with_kind(kind: str, c: str):
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _comments(spark, sf_dir, False)
+    found = _comments(spark, sf_dir)
     wrong = (F.col("chain_end") == "post") & F.col("kept").isNotNull() & (F.col("kept") != F.col("real_depth"))
     state = F.when(F.col("chain_end") != "post", F.col("chain_end")).when(wrong, "depth")
     root = F.when(F.col("chain_end") == "post", _with_kind("t3_", "scope")).otherwise(_with_kind("t1_", "root"))
@@ -65,20 +68,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every comment with root, depth, path and number of descendants; below a cycle, paths start at the ring."""
-    whole = with_rings_as_heads(_comments(spark, sf_dir, True))
-    joined = whole.join(descendant_counts(whole), ["scope", "node"], "left")
-    return joined.select(_with_kind("t3_", "scope").alias("thread_id"), _with_kind("t1_", "node").alias("id"), _with_kind("t1_", "root").alias("root_id"), "real_depth", "chain_end", F.array_join("path", "/").alias("path"), F.coalesce("below", F.lit(0)).alias("descendants"))
+    whole = hierarchy(_latest_comments(spark, sf_dir), True, rings_as_heads=True)
+    return whole.select(_with_kind("t3_", "scope").alias("thread_id"), _with_kind("t1_", "node").alias("id"), _with_kind("t1_", "root").alias("root_id"), "real_depth", "chain_end", F.array_join("path", "/").alias("path"), F.col("below").alias("descendants"))
 
 
 def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every comment with each comment below it and how far below."""
-    pairs = all_descendants(with_rings_as_heads(_comments(spark, sf_dir, True)))
+    pairs = all_descendants(_latest_comments(spark, sf_dir))
     return pairs.select(_with_kind("t3_", "scope").alias("thread_id"), _with_kind("t1_", "ancestor").alias("ancestor_id"), _with_kind("t1_", "descendant").alias("descendant_id"), "distance")
 
 
 def p5_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each cycle with the back edge that closes it, the nodes on it, and all whose chain leads into it."""
-    found = back_edges(_comments(spark, sf_dir, False))
+    found = back_edges(_comments(spark, sf_dir))
     return found.select(_with_kind("t3_", "scope").alias("thread_id"), _with_kind("t1_", "node").alias("id"), _with_kind("t1_", "back_to").alias("back_to"), "ring_nodes", "nodes")
 
 
@@ -161,6 +163,19 @@ SQL: dict[str, str] = {
         SELECT 't3_' || f.thread AS thread_id, 't1_' || list_min(f.ring) AS id, 't1_' || min(h.parent) AS back_to, min(len(f.ring)) AS ring_nodes, count(*) AS nodes
         FROM found f JOIN linked h ON h.id = list_min(f.ring) WHERE f.ends IS NULL GROUP BY 1, 2
     """,
+    "p5_hierarchy": WALK + """,
+        onring AS (SELECT id, path, ring, ends, thread, above, top, list_position(ring, id) > 0 AS on_ring FROM (SELECT f.*, s.path FROM found f JOIN stops s ON s.id = f.id)),
+        ways AS (SELECT id, thread, ends, above, top, ring, CASE WHEN ends IS NULL THEN list_slice(path, 1, greatest(1, len(path) - len(ring) + 1)) ELSE path END AS way FROM onring),
+        below AS (SELECT u AS id, count(*) AS n FROM (SELECT id, unnest(way) AS u FROM ways) WHERE u <> id GROUP BY 1),
+        rings AS (SELECT list_min(ring) AS least, count(*) - 1 AS n FROM found WHERE ends IS NULL GROUP BY 1)
+        SELECT 't3_' || coalesce(w.thread, '') AS thread_id, 't1_' || w.id AS id, 't1_' || CASE WHEN w.ends IS NULL THEN list_min(w.ring) ELSE w.top END AS root_id, CAST(CASE WHEN w.ends IS NULL THEN -1 ELSE w.above END AS INTEGER) AS real_depth,
+        coalesce(w.ends, 'cycle') AS chain_end, array_to_string(list_reverse(w.way), '/') AS path, coalesce(CASE WHEN w.ends IS NULL AND list_contains(w.ring, w.id) THEN r.n ELSE b.n END, 0) AS descendants
+        FROM ways w LEFT JOIN below b ON b.id = w.id LEFT JOIN rings r ON w.ends IS NULL AND r.least = list_min(w.ring)
+    """,
+    "p5_descendants": WALK + """
+        SELECT 't3_' || o.thread AS thread_id, 't1_' || a.above AS ancestor_id, 't1_' || a.id AS descendant_id, CAST(a.place - 1 AS INTEGER) AS distance
+        FROM (SELECT id, unnest(path) AS above, generate_subscripts(path, 1) AS place FROM stops) a JOIN linked o ON o.id = a.id WHERE a.place > 1
+    """,
     "p5_found": WALK + """
         SELECT 't1_' || id AS id, CASE WHEN ends IS NULL THEN 't1_' || list_min(ring) WHEN ends = 'orphan' THEN 't1_' || top ELSE 't3_' || thread END AS root_id,
         CAST(CASE WHEN ends IS NULL THEN -1 ELSE above END AS INTEGER) AS real_depth, CASE WHEN ends IS NULL THEN 'cycle' WHEN ends = 'orphan' THEN 'orphan' ELSE 'depth' END AS state

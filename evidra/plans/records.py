@@ -101,8 +101,8 @@ def merged_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def subtree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each comment the number and the scores of its whole subtree, itself included; cycles have none."""
     nodes = latest_nodes(table(spark, sf_dir, "deep_comments"), "id", "parent_id", "thread_id", "fetched_at", "row_id", "score")
-    found = hierarchy(nodes, True).where("path IS NOT NULL").select("scope", F.coalesce("kept", F.lit(0)).alias("score"), F.explode("path").alias("node"))
-    return found.groupBy("scope", "node").agg(F.count("*").alias("comments"), F.sum("score").alias("score")).select(F.concat(F.lit("t1_"), "node").alias("id"), "comments", "score")
+    found = hierarchy(nodes, value="kept").where("chain_end <> 'cycle'")
+    return found.select(F.concat(F.lit("t1_"), "node").alias("id"), (F.col("below") + 1).alias("comments"), F.col("total").alias("score"))
 
 
 @query("SELECT name FROM workspaces ORDER BY name")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -22,12 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only where none is configured (tests) make one."""
+    """Use the cluster's shared checkpoint folder; only on one machine, where none is configured (tests), make one and remove it at the end."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="evidra-checkpoint-"))
+    if not configured:
+        # On a cluster every machine would write to a folder of its own.
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        configured = tempfile.mkdtemp(prefix="evidra-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
+    context.setCheckpointDir(configured)
 
 
 def cut(df: DataFrame) -> DataFrame:
