@@ -35,7 +35,7 @@ from evidra.session import map_arrow
 
 #: Bounds of the training data: sentences in all, of them harmless ones by origin, variations of a reviewed sentence.
 MOST_SENTENCES, MOST_BY_ORIGIN, VARIATIONS = 10_000, 3000, 10
-LANDMARKS, BLOCK, THREADS = 2000, 200, 4
+LANDMARKS, BLOCK, THREADS = 1600, 200, 4
 #: Four symbols within six places, and the factor for each place left out.
 SPAN, DECAY = 6, 0.6
 WINDOW, HOP = 80, 40
@@ -196,19 +196,23 @@ Features = dict[str, tuple[np.ndarray, np.ndarray]]
 
 def _features(texts: list[str], known: Features) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each text, as one sentence: its subsequence codes and their weights, over the root of its length."""
-    for t in texts:
-        if t in known:
-            continue
-        s, _, _ = fold([t])
-        codes, values = [], []
-        for code, _, w in _codes(s, np.zeros(len(s), np.int32)):
-            codes.append(code)
-            values.append(np.full(len(code), w))
-        if not codes:
-            known[t] = (np.empty(0, np.int32), np.empty(0, np.float32))
-            continue
-        unique, place = np.unique(np.concatenate(codes), return_inverse=True)
-        known[t] = (unique.astype(np.int32), (np.bincount(place, np.concatenate(values)) / np.sqrt(max(len(s), 12))).astype(np.float32))
+    new = [t for t in dict.fromkeys(texts) if t not in known]
+    for at in range(0, len(new), 2000):
+        part = new[at : at + 2000]
+        s, _, doc = fold(part)
+        sizes = np.bincount(doc, minlength=len(part)) if len(doc) else np.zeros(len(part), np.int64)
+        keys, values = [np.empty(0, np.int64)], [np.empty(0)]
+        for code, inside, w in _codes(s, doc):
+            # Text and code in one number, so that one sort puts all texts' subsequences together.
+            keys.append((doc[: len(code)].astype(np.int64)[inside] << 20) | code[inside])
+            values.append(np.full(len(keys[-1]), w))
+        unique, place = np.unique(np.concatenate(keys), return_inverse=True)
+        owner = unique >> 20
+        sums = np.bincount(place, np.concatenate(values), len(unique)) / np.sqrt(np.maximum(sizes, 12))[owner] if len(unique) else np.empty(0)
+        ends = np.cumsum(np.bincount(owner, minlength=len(part)))
+        for i, t in enumerate(part):
+            a, b = ends[i - 1] if i else 0, ends[i]
+            known[t] = ((unique[a:b] & 0xFFFFF).astype(np.int32), sums[a:b].astype(np.float32))
     return [known[t] for t in texts]
 
 
@@ -238,7 +242,7 @@ def train(examples: list[tuple[str, int]], harmless_texts: list[str] | None = No
     harmful = [_split(t) for t, label in examples if label]
     single = [(p[0], 1) for p in harmful if len(p) == 1]
     if any(len(p) > 1 for p in harmful):
-        first = _fit([*harmless, *more(single), *own], seed, known, LANDMARKS // 4)
+        first = _fit([*harmless, *more(single), *own], seed, known, LANDMARKS // 5)
         single = [(parts[int(np.argmax(first.scores(parts)))], 1) for parts in harmful if parts]
     return _fit([*harmless, *more(single), *own], seed, known)
 

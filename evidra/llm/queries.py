@@ -20,8 +20,11 @@ OWN_SIDE, MOST_OWN_SIDE = ("search_snippet", "analysis_rationale", "draft_reply"
 
 def _scored(spark: SparkSession, sf_dir: str, key: tuple[str, ...] = ("row_id",)) -> DataFrame:
     examples = [(r["text"], int(r["verdict"] != "none")) for r in table(spark, sf_dir, "moderation_examples").where("text IS NOT NULL AND verdict IS NOT NULL").orderBy("example_id").collect()]  # a fixed, reviewed table
-    # Texts the product's own side wrote are harmless by origin: a bounded sample, the same one whatever the files' order.
-    own_side = table(spark, sf_dir, "documents").where(source_key(F.col("source")).isin(*OWN_SIDE) & F.col("text").isNotNull()).select("text").orderBy(F.xxhash64("text"), "text").limit(MOST_OWN_SIDE)
+    # Texts the product's own side wrote are harmless by origin: a bounded sample, the same one whatever the files' order. A
+    # threshold on the hash leaves about twice as many as wanted, so that no task sends more than its share to the driver.
+    own_side = table(spark, sf_dir, "documents").where(source_key(F.col("source")).isin(*OWN_SIDE) & F.col("text").isNotNull()).select("text")
+    share = min(1.0, 2 * MOST_OWN_SIDE / max(1, own_side.count()))
+    own_side = own_side.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64("text"), "text").limit(MOST_OWN_SIDE)
     harmless = [r["text"] for r in own_side.collect()]
     comments = table(spark, sf_dir, "deep_comments").select(F.struct(*key).alias("row"), "body")
     return score_texts(comments, "row", "body", examples, harmless).select("row.*", "score")
