@@ -59,7 +59,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM latest l JOIN facts f ON l.analysis_id = f.id LEFT JOIN snaps s ON l.conversation_id = s.conversation_id
     WHERE {VALID} AND post_created_at IS NOT NULL ORDER BY score DESC, l.creation_order DESC LIMIT 50""")
 def k1_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranked inbox."""
+    """The ranked inbox."""
     rows = scored(spark, sf_dir)
     return paging.top_k(rows, [F.desc("score"), F.desc("creation_order")]).select(F.col("id").alias("opportunity_id"), "campaign_id", "score", "topic", "last_snapshot")
 
@@ -84,7 +84,7 @@ def current_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT conversation_id, version_id, creation_order FROM seen
     QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY seen_at DESC, creation_order DESC, normalizer_version DESC, version_id DESC) = 1""")
 def current_by_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The version with the newest evidence, chosen on narrow columns."""
+    """The version with the newest evidence, chosen on narrow columns."""
     versions = table(spark, sf_dir, "conversation_versions")
     evidence = versions.select(F.col("row_id").alias("creation_order"), F.col("row_id").alias("version_row"), F.coalesce("created_at", "delivered_at").alias("seen_at"))
     keyed = versions.select("conversation_id", "normalizer_version", F.struct("id", "row_id").alias("id"))
@@ -134,7 +134,7 @@ def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN bool_and(status IN ('success', 'no_results')) THEN 'succeeded' WHEN NOT bool_or(status IN ('success', 'no_results', 'incomplete')) THEN 'failed' ELSE 'partial' END AS run_status,
     CAST(sum(coalesce(elapsed_ms, 0)) AS BIGINT) AS total_elapsed_ms, CAST(sum(CASE WHEN candidate_count >= 0 THEN candidate_count END) AS BIGINT) AS request_count FROM attempts GROUP BY 1""")
 def run_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The outcome of each run; unmeasured counts stay null."""
+    """A3, A4: the outcome of each run over all its attempts; unmeasured counts stay null."""
     return rollup.run_rollup(attempts(spark, sf_dir), requests="candidate_count")
 
 
@@ -296,7 +296,7 @@ def tidy_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LATEST} SELECT DISTINCT conversation_id FROM latest WHERE conversation_id IS NOT NULL AND conversation_id NOT IN (SELECT conversation_id FROM conversation_versions)")
 def uncovered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Discussions that only one side has."""
+    """Discussions that only one side has."""
     return sets.difference(latest(spark, sf_dir).where("conversation_id IS NOT NULL"), table(spark, sf_dir, "conversation_versions"), ["conversation_id"])
 
 
@@ -323,7 +323,7 @@ _RULES = {"workspace": "workspace_id IS NOT NULL", "score": "opportunity_score B
 
 @query("SELECT id, creation_order, updated_at, rule FROM (" + " UNION ALL ".join(f"SELECT id, creation_order, updated_at, '{n}' AS rule FROM opportunities WHERE NOT coalesce({r}, false)" for n, r in _RULES.items()) + ")")
 def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P8, P14, P16, section 1.6: one row for each rule a row breaks."""
+    """P8, P16, section 1.6: one row for each rule a row breaks."""
     return validate.violations(table(spark, sf_dir, "opportunities"), ["id", "creation_order", "updated_at"], {n: F.expr(r) for n, r in _RULES.items()})
 
 
@@ -401,7 +401,7 @@ def thread_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CANDIDATES} SELECT run, creation_order, pos, 'https://search.example/?q=' || replace(url_encode('site:threads.example/r/' || subreddit || ' ' || external_id), '%20', '+') AS search FROM items WHERE subreddit ~ '^[a-z]+$' AND external_id ~ '^[a-z0-9_]+$'")
 def search_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a scoped search for each candidate."""
+    """a scoped search for each candidate."""
     rows = candidates(spark, sf_dir).where("subreddit RLIKE '^[a-z]+$' AND external_id RLIKE '^[a-z0-9_]+$'")
     return rows.select("run", "creation_order", "pos", text.search_url("https://search.example/", F.col("external_id"), F.array("subreddit"), "threads.example").alias("search"))
 

@@ -19,7 +19,7 @@ query = Registry()
 
 @query(f"""WITH {ATTEMPTS} SELECT id, CASE WHEN capability <> 'thread_fetch' THEN 'other capability' WHEN status NOT IN ('success', 'incomplete') THEN 'not usable' WHEN evidence_state IS DISTINCT FROM 'bundle' THEN 'no bundle' WHEN coalesce(external_source_id, '') = '' THEN 'no id' ELSE 'eligible' END AS eligibility FROM attempts""")
 def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether an attempt can become a version, or the first reason against it."""
+    """Whether an attempt can become a version, or the first reason against it."""
     rules = [(F.col("capability") != "thread_fetch", "other capability"), (~F.col("status").isin("success", "incomplete"), "not usable"), (~F.col("evidence_state").eqNullSafe(F.lit("bundle")), "no bundle"), (F.coalesce("external_source_id", F.lit("")) == "", "no id")]
     return attempts(spark, sf_dir).select("id", first_rule(rules, F.lit("eligible")).alias("eligibility"))
 
@@ -57,7 +57,7 @@ def public_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {ATTEMPTS} SELECT id, coalesce(nullif(concat_ws(', ', candidate_count || ' candidates', elapsed_ms || ' ms'), ''), '—') AS usage, concat_ws(' · ', nullif(trim(provider_variant), ''), nullif(trim(capability), ''), nullif(trim(status), '')) AS provenance FROM attempts""")
 def attempt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Measured usage and provenance in words."""
+    """Measured usage and provenance in words."""
     return attempts(spark, sf_dir).select("id", text.usage_label((F.col("candidate_count"), "candidates"), (F.col("elapsed_ms"), "ms")).alias("usage"), text.joined_line(F.col("provider_variant"), F.col("capability"), F.col("status")).alias("provenance"))
 
 
@@ -76,7 +76,7 @@ def distinct_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {LATEST}, {FACTS} SELECT l.id, CASE WHEN l.analysis_id IS NULL OR f.id IS NULL THEN 'no subject' WHEN l.post_created_at IS NULL THEN 'no time' WHEN l.conversation_id IN (SELECT conversation_id FROM conversation_versions) THEN 'ready' ELSE 'no version' END AS check_result FROM latest l LEFT JOIN facts f ON l.analysis_id = f.id""")
 def pre_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cheap checks before a dear step, the first that fails."""
+    """L1: cheap checks before a dear step, the first that fails."""
     f = facts(spark, sf_dir).select(F.col("id").alias("analysis_id"), F.lit(True).alias("subject"))
     v = table(spark, sf_dir, "conversation_versions").select("conversation_id").distinct().withColumn("version", F.lit(True))
     joined = latest(spark, sf_dir).join(f, "analysis_id", "left").join(v, "conversation_id", "left")

@@ -61,7 +61,7 @@ def comment_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ATTEMPTS} SELECT id, CASE WHEN elapsed_ms IS NULL OR elapsed_ms < 0 THEN '—' WHEN elapsed_ms < 1000 THEN elapsed_ms || ' ms' WHEN elapsed_ms < 60000 THEN printf('%.1f s', floor(elapsed_ms / 100) / 10) ELSE CAST(floor(elapsed_ms / 60000) AS BIGINT) || ' m ' || CAST(floor(elapsed_ms / 1000) % 60 AS BIGINT) || ' s' END AS latency,
     CASE WHEN completed_at >= started_at THEN CAST((epoch_us(completed_at) - epoch_us(started_at)) // 1000 AS BIGINT) END AS measured_ms, CAST(least(3000 * pow(2, least(candidate_count, 3)), 15000) AS BIGINT) AS backoff_ms FROM attempts""")
 def attempt_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latency labels, measured time, back-off."""
+    """Latency labels, measured time, back-off."""
     micros = F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))
     return attempts(spark, sf_dir).select("id", text.latency_label(F.col("elapsed_ms")).alias("latency"), F.when(F.col("completed_at") >= F.col("started_at"), F.floor(micros / 1000)).alias("measured_ms"), times.backoff_ms(F.col("candidate_count")).alias("backoff_ms"))
 
@@ -177,13 +177,15 @@ def event_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.fan_out(attempts(spark, sf_dir), "creation_order", kinds).select("creation_order", "seq", "type")
 
 
-@query("SELECT event_id AS id, event_type AS type FROM events WHERE event_type IN ('click', 'error', 'view') AND user_id % 4 = 1")
+@query("SELECT event_id AS id, event_type AS type, user_id % 4 = 1 AS in_scope FROM events WHERE event_type IN ('click', 'error', 'view')")
 def event_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Envelopes parsed, malformed and foreign ones dropped."""
+    """Envelopes parsed, malformed ones and those of unknown types dropped; which belong to one run."""
     e = table(spark, sf_dir, "events")
     envelope = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("type"), (F.col("user_id") % 4).cast("string").alias("run_id"), F.lit("w1").alias("workspace_id")))
     lines = e.select(envelope.alias("line")).unionByName(e.select(F.lit("{not json").alias("line")))
-    return stream.scoped(stream.parsed(lines, "line", ["click", "error", "view"]), "w1", "1").select(F.col("id").cast("long").alias("id"), "type")
+    known = stream.parsed(lines, "line", ["click", "error", "view"])
+    mine = stream.scoped(known, "w1", "1").select("id", F.lit(True).alias("mine"))
+    return known.join(mine, "id", "left").select(F.col("id").cast("long").alias("id"), "type", F.coalesce("mine", F.lit(False)).alias("in_scope"))
 
 
 @query()

@@ -125,3 +125,44 @@ def test_rings_head_their_trees(spark, tmp_path):
     got = {r["id"][3:]: r for r in problems.p5_hierarchy(spark, str(tmp_path)).collect()}
     assert {k: r["descendants"] for k, r in got.items()} == {k: sum(x == k for x, _ in expected) for k in up}
     assert got["f"]["path"] == "b/d/e/f" and got["a"]["path"] == "a" and got["q"]["path"] == "p/q" and got["f"]["real_depth"] == -1
+
+
+@pytest.mark.parametrize("max_block", [10_000, 25, 0])
+def test_descendants_are_counted_and_summed(spark, max_block):
+    rows = made(5)
+    chains = brute(rows)
+    nodes = latest_nodes(spark.createDataFrame(rows, SCHEMA), "id", "parent_id", "thread_id", "fetched_at", "row_id", "depth")
+    kept = {r["node"]: r["kept"] or 0 for r in nodes.collect()}
+    below = dict.fromkeys(chains, 0)
+    total = dict(kept)
+    for node, (_, _, end, chain) in chains.items():
+        for above in (chain or [])[:-1]:
+            below[above] += 1
+            total[above] += kept[node]
+    got = {r["node"]: r for r in hierarchy(nodes, False, max_block, "kept").collect()}
+    trees = {k for k, c in chains.items() if c[2] != "cycle"}
+    assert {k: (got[k]["below"], got[k]["total"]) for k in trees} == {k: (below[k], total[k]) for k in trees}
+    for k, c in chains.items():
+        if c[2] == "cycle" and got[k]["on_ring"]:
+            members = [x for x, y in chains.items() if y[2] == "cycle" and y[0] == c[0]]
+            assert got[k]["below"] == len(members) - 1 and got[k]["total"] == sum(kept[x] for x in members)
+
+
+@pytest.mark.parametrize("max_block", [10_000, 3])
+def test_pairs_do_not_depend_on_the_block(spark, max_block):
+    from evidra.operators.hierarchy import all_descendants
+
+    nodes = latest_nodes(spark.createDataFrame(made(6), SCHEMA), "id", "parent_id", "thread_id", "fetched_at", "row_id", "depth")
+    pairs = all_descendants(nodes, max_block).collect()
+    counts = {}
+    for r in pairs:
+        counts[r["ancestor"]] = counts.get(r["ancestor"], 0) + 1
+    assert len(pairs) == len({(r["scope"], r["ancestor"], r["descendant"]) for r in pairs})
+    assert counts == {r["node"]: r["below"] for r in hierarchy(nodes).collect() if r["below"]}
+
+
+def test_components_by_union():
+    from evidra.operators.hierarchy import components
+
+    assert components([-1, 0, 1, -2, 3, -1]) == [0, 0, 0, 3, 3, 5]
+    assert components([1, 2, 0]) == [0, 0, 0] and components([]) == []

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import sys
 
 from evidra.functions.jsontext import INVALID, _iterative, parse, unwrap
 from evidra.operators import nested
@@ -121,3 +122,29 @@ def test_typed_tables_are_queries(spark):
     for kind, t in tables.items():
         assert t.columns == [*KEYS, *nested.SUBTYPES[kind]] and {r["owner"] for r in t.select("owner").distinct().collect()} == {"version", "observation"}
         assert t.where(f"state IS NULL OR state NOT LIKE '{kind}:%'").isEmpty()
+
+
+def _state(**fields):
+    """The state of a top-level comment with one reply that has one node below it."""
+    inner = fields.pop("inner", {"kind": "t1", "data": {"id": "c", "body": "x", "replies": ""}})
+    listing = lambda *x: {"data": {"children": list(x)}}
+    reply = {"kind": "t1", "data": {"id": "b", "body": "x", "replies": listing(inner)}}
+    top = {"kind": "t1", "data": {"id": "a", "body": "x", "replies": listing(reply), **fields}}
+    doc = {"content": [listing({"kind": "t3", "data": {"id": "p"}}), listing(top)]}
+    return next(r[-1] for r in raw_rows(json.dumps(doc)) if r[1] == "t1_a")
+
+
+def test_states_tell_grandchildren_and_all_fields_apart():
+    assert _state() == _state() == _state(body="other words")
+    assert _state() != _state(inner={"kind": "more", "data": {"id": "m", "children": []}})
+    assert _state(author={"x": {"y": 1}}) != _state(author={"z": [1]}) != _state(author="text")
+    assert _state(fifth=1) != _state(fifth="1") != _state()
+
+
+def test_depth_alone_makes_no_new_states():
+    node = {"kind": "t1", "data": {"id": "n0", "body": "x", "replies": ""}}
+    for i in range(1, 500):
+        node = {"kind": "t1", "data": {"id": f"n{i}", "body": "x", "replies": {"data": {"children": [node]}}}}
+    sys.setrecursionlimit(20_000)
+    doc = json.dumps({"content": [{"data": {"children": []}}, {"data": {"children": [node]}}]})
+    assert len({r[-1] for r in raw_rows(doc)}) <= 3
