@@ -64,6 +64,14 @@ def recovered(files: DataFrame, prefix: str) -> DataFrame:
     return good.select(F.min_by(F.struct("path", "sha256", "document"), F.struct((~own).alias("other"), (-F.unix_micros(F.col("modificationTime").cast("timestamp"))).alias("age"), "path")).alias("best")).where("best IS NOT NULL").select("best.*")
 
 
+def recovered_by(files: DataFrame, group: str, prefix: str) -> DataFrame:
+    """``recovered`` for many attempts at once: of each group's files the first that parses; ``prefix`` is a column."""
+    good = files.where(F.schema_of_variant("document").startswith("OBJECT"))
+    foreign = ~F.coalesce(F.element_at(F.split("path", "/"), -1).startswith(F.col(prefix)), F.lit(False))
+    order = F.struct(foreign.alias("other"), (-F.unix_micros(F.col("modificationTime").cast("timestamp"))).alias("age"), "path")
+    return good.groupBy(group).agg(F.min(F.struct(order.alias("place"), F.col("path").alias("found"))).alias("best"), F.count("*").alias("readable")).select(group, F.col("best.found").alias("path"), "readable")
+
+
 class _Results(HTMLParser):
     """Rows of a result page: each link of the result class, with the text that follows until the next one."""
 

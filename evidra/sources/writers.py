@@ -55,20 +55,33 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str], replaced: list[str],
 
 
 def swap_in(df: DataFrame, path: str) -> None:
-    """Replace a table by copy: write beside it, then rename. Never reads and overwrites the same files."""
+    """Replace a table by copy: write beside it, then put it in its place. Never reads and overwrites the same files.
+
+    A table that is not there yet appears in one rename. One that is there is replaced by two: should the second fail, the old
+    table is put back, and a reader between them finds it under ``<path>.old`` (see ``stored``).
+    """
     spark = df.sparkSession
     beside = f"{path}.{uuid.uuid4().hex}"
     df.write.parquet(beside)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     source, target, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (beside, path, path + ".old"))
     fs = target.getFileSystem(conf)
-    if fs.exists(target):
+    there = fs.exists(target)
+    if there:
         fs.delete(old, True)
         fs.rename(target, old)
-    fs.rename(source, target)
+    if not fs.rename(source, target):
+        if there:
+            fs.rename(old, target)
+        raise OSError(f"{path} could not be replaced")
     fs.delete(old, True)
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """A table written by ``swap_in``, also while it is being replaced."""
+    return spark.read.parquet(path if _exists(spark, path) else path + ".old")
+
+
 def receipts(requests: DataFrame, stored: DataFrame, keys: list[str], fingerprint: str, response: str) -> DataFrame:
     """For each keyed write: new, replay, conflict (another fingerprint) or unfinished (no response stored yet)."""
     kept = stored.select(*keys, F.col(fingerprint).alias("__f"), F.col(response).alias("__r"), F.lit(True).alias("__there"))
