@@ -286,16 +286,29 @@ def _outside(words: list[str]) -> int:
     return sum(strangers(frozenset(letters), kind) for kind, letters in _letters("".join(words)).items())
 
 
+def _excess(text: str) -> float:
+    """The cost of a stretch, but nothing for the little that ordinary signs cost, as many of them prove nothing."""
+    own = cost(text)
+    return own if own >= 0.5 else 0.0
+
+
 def best_swap(words: list[str]) -> tuple[int, int, str, str] | None:
     """The run of words (first, last) and the pair of charsets that make a text most plausible, if any does clearly."""
-    own = [cost(w) + _cyrillic(w) for w in words]
-    # No run can gain more than all there is to lose.
-    if sum(c for c in own if c > 0) + STRANGER * _outside(words) <= SWAP_GAIN + SWAP_STEP:
+    own = [_excess(w) + _cyrillic(w) for w in words]
+    # A run has to show as much that is implausible as it is to gain.
+    total = most = 0.0
+    for c in own:
+        total = max(0.0, total + c)
+        most = max(most, total)
+    if most + STRANGER * _outside(words) <= SWAP_GAIN:
         return None
+    there = {ord(c) for w in words for c in w if c > "\x7f"}
     best, chosen = SWAP_GAIN, None
     for shown, meant in SWAPS:
+        if not any(_swap_table(shown, meant).get(o, chr(o)) != chr(o) for o in there):
+            continue
         made = [swap(w, shown, meant) for w in words]
-        gains = [None if m is None else c - cost(m) - _cyrillic(m) for c, m in zip(own, made)]
+        gains = [None if m is None else c - _excess(m) - _cyrillic(m) for c, m in zip(own, made)]
         changed = [m is not None and m != w for m, w in zip(made, words)]
         if not any(changed):
             continue
