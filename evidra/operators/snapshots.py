@@ -23,15 +23,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.jsontext import INVALID, member, parse, unwrap
-from evidra.session import cut, in_parts, map_arrow
+from evidra.session import cut, in_parts, join_small, map_arrow
 
 #: The fields of a discussion that make up its content.
 POST_FIELDS = ("id", "title", "author", "createdUtc", "selftext", "permalink")
 COMMENT_FIELDS = ("id", "author", "depth", "parentId", "createdUtc", "body", "visibility")
 MORE_FIELDS = ("id", "parentId", "count", "childIds", "depth")
 
-#: A chunk has so many keys on average.
-CHUNK_KEYS = 64
+#: A chunk has so many keys on average, and at most so many times as many; after a cut for size the next own cut is common again.
+CHUNK_KEYS, MOST_CHUNKS = 64, 32
 
 
 def _picked(value: Any, fields: tuple[str, ...]) -> list | None:
@@ -85,7 +85,7 @@ def _chunks(every: int):
         at, keys, digests, made = None, [], [], []
         for b in batches:
             for place, key, d in zip(b.column("place").to_pylist(), b.column("key").to_pylist(), b.column("digest").to_pylist()):
-                if keys and (place != at or crc32(keys[-1].encode("utf-8", "surrogatepass")) % every == 0):
+                if keys and (place != at or len(keys) >= MOST_CHUNKS * every or crc32(keys[-1].encode("utf-8", "surrogatepass")) % every == 0):
                     made.append(out(at, keys, digests))
                     keys, digests = [], []
                 at = place
@@ -114,9 +114,14 @@ def snapshot_changes(df: DataFrame, snapshot: str, key: str, content: str, deliv
     placed = last.join(order, "snapshot").select("place", "key", "digest")
     sorted_keys = placed.repartitionByRange(in_parts(total, 100_000), "key").sortWithinPartitions("place", "key")
     chunks = cut(map_arrow(sorted_keys, _chunks(chunk_keys), "place int, chunk binary, keys array<string>, digests array<binary>"))
+    # Only places and digests of chunks are compared; the keys within are read again for the chunks that have no equal.
     ids = chunks.select("place", "chunk")
-    old = chunks.where(F.col("place") < newest).join(ids.select((F.col("place") - 1).alias("place"), "chunk"), ["place", "chunk"], "left_anti").select((F.col("place") + 1).alias("place"), F.explode(F.arrays_zip("keys", "digests")).alias("x")).select("place", F.col("x.keys").alias("key"), F.col("x.digests").alias("old"))
-    new = chunks.where("place > 1").join(ids.select((F.col("place") + 1).alias("place"), "chunk"), ["place", "chunk"], "left_anti").select("place", F.explode(F.arrays_zip("keys", "digests")).alias("x")).select("place", F.col("x.keys").alias("key"), F.col("x.digests").alias("new"))
+    lost = ids.where(F.col("place") < newest).join(ids.select((F.col("place") - 1).alias("place"), "chunk"), ["place", "chunk"], "left_anti").withColumn("side", F.lit("old"))
+    come = ids.where("place > 1").join(ids.select((F.col("place") + 1).alias("place"), "chunk"), ["place", "chunk"], "left_anti").withColumn("side", F.lit("new"))
+    lonely = cut(lost.unionByName(come))
+    opened = join_small(chunks, lonely, ["place", "chunk"], "inner", lonely.count()).select("place", "side", F.explode(F.arrays_zip("keys", "digests")).alias("x"))
+    old = opened.where("side = 'old'").select((F.col("place") + 1).alias("place"), F.col("x.keys").alias("key"), F.col("x.digests").alias("old"))
+    new = opened.where("side = 'new'").select("place", F.col("x.keys").alias("key"), F.col("x.digests").alias("new"))
     joined = old.join(new, ["place", "key"], "full")
     kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
     return joined.select("place", "key", kind.alias("change_kind")).where("change_kind IS NOT NULL").join(order, "place").select("snapshot", "key", "change_kind")
