@@ -51,24 +51,6 @@ def visibility(author: Column, body: Column) -> Column:
     return F.when(gone, "deleted").when(F.coalesce(body == "[removed]", F.lit(False)), "removed").otherwise("visible")
 
 
-def thread_validation(nodes: DataFrame, posts: DataFrame) -> DataFrame:
-    """Per document: counts, repeated ids, missing parents, depth, placeholders and the counter class.
-
-    ``nodes`` are rows of the nested-record flattening with columns owner_key, node_kind, node_id, parent_id, depth and
-    child_count; ``posts`` has owner_key, post_id and reported.
-    """
-    comments = nodes.where("node_kind = 'comment'")
-    per_id = comments.groupBy("owner_key", "node_id").agg(F.count("*").alias("copies"), F.max("depth").alias("deepest"))
-    counts = per_id.groupBy("owner_key").agg(F.sum("copies").alias("extracted"), F.count("*").alias("unique_ids"), F.count_if(F.col("copies") > 1).alias("duplicate_ids"), F.max("deepest").alias("max_depth"))
-    known = per_id.select("owner_key", F.col("node_id").alias("parent_id"))
-    missing = comments.join(posts.select("owner_key", F.col("post_id").alias("parent_id")), ["owner_key", "parent_id"], "left_anti").join(known, ["owner_key", "parent_id"], "left_anti").groupBy("owner_key").agg(F.count("*").alias("missing_parents"))
-    more = nodes.where("node_kind = 'more'").groupBy("owner_key").agg(F.count("*").alias("more_nodes"), F.sum("child_count").alias("more_children"))
-    joined = posts.join(counts, "owner_key", "left").join(missing, "owner_key", "left").join(more, "owner_key", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    filled = joined.select("owner_key", "post_id", "reported", zero("extracted"), zero("unique_ids"), zero("duplicate_ids"), "max_depth", zero("missing_parents"), zero("more_nodes"), zero("more_children"))
-    return filled.withColumn("exhausted", F.col("more_nodes") == 0).withColumn("counter_class", counter_class(F.col("reported"), F.col("extracted"), F.col("more_children")))
-
-
 def transitions(candidates: DataFrame, fetched: DataFrame, discussions: DataFrame) -> DataFrame:
     """Per run: candidates expected, fetched (with any outcome) and normalized, and whether all were fetched."""
     joined = candidates.join(fetched.select("run", "external_id", F.lit(True).alias("was_fetched")), ["run", "external_id"], "left").join(discussions.select("external_id", F.lit(True).alias("was_normalized")), "external_id", "left")

@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from typing import Any
@@ -103,25 +104,25 @@ def _post(data: dict) -> dict:
     }
 
 
+def _counter_class(reported: float | None, extracted: int, hidden: int) -> str:
+    """The rule of ``rollup.counter_class`` for a record that is being made in a worker."""
+    if reported is None:
+        return "unknown"
+    missing = reported - extracted
+    return "match" if missing == 0 else "negative_counter_lag" if missing < 0 else "within_unresolved_more" if missing <= hidden else "exceeds_visible_tree"
+
+
 def _validation(post: dict, comments: list[dict], more: list[dict]) -> dict:
-    known, again = set(), {}
-    for c in comments:
-        if c["id"] in known:
-            again[c["id"]] = None
-        known.add(c["id"])
-    hidden, reported = sum(len(m["childIds"]) for m in more), post["totalReportedComments"]
-    delta = None if reported is None else reported - len(comments)
-    if delta is None:
-        kind = "unknown"
-    elif delta < 0:
-        kind = "negative_counter_lag"
-    else:
-        kind = "match" if delta == 0 else "within_unresolved_more" if hidden >= delta else "exceeds_visible_tree"
+    places: dict[str, list[int]] = defaultdict(list)
+    for place, c in enumerate(comments):
+        places[c["id"]].append(place)
+    again = sorted((own for own, at in places.items() if len(at) > 1), key=lambda own: places[own][1])  # in the order in which the repetition is noticed
+    reported, hidden = post["totalReportedComments"], sum(len(m["childIds"]) for m in more)
     return {
-        "extractedCommentCount": len(comments), "uniqueCommentCount": len(known), "duplicateIds": list(again),
-        "missingParentReferences": [{"id": c["id"], "parentId": c["parentId"]} for c in comments if c["parentId"] != post["id"] and c["parentId"] not in known],
+        "extractedCommentCount": len(comments), "uniqueCommentCount": len(places), "duplicateIds": again,
+        "missingParentReferences": [{"id": c["id"], "parentId": c["parentId"]} for c in comments if c["parentId"] not in places and c["parentId"] != post["id"]],
         "maxDepth": max((c["depth"] for c in comments), default=None), "unresolvedMoreNodeCount": len(more), "unresolvedMoreChildCount": hidden,
-        "sourceTreeExhausted": not more, "reportedCommentDelta": delta, "counterDeltaClass": kind,
+        "sourceTreeExhausted": not more, "reportedCommentDelta": None if reported is None else reported - len(comments), "counterDeltaClass": _counter_class(reported, len(comments), hidden),
     }
 
 

@@ -200,7 +200,7 @@ def html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def thread_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw threads to records with digests and validation."""
     raw = table(spark, sf_dir, "retrieval_observations").where("raw_artifact IS NOT NULL").select(F.col("creation_order"), "raw_artifact").distinct()
-    return threads.normalized_threads(raw, "creation_order", "raw_artifact").where("problem IS NULL").drop("record", "problem")
+    return threads.normalized_threads(raw, "creation_order", "raw_artifact").where("problem IS NULL").drop("record", "problem").withColumn("normalizer", F.lit(threads.NORMALIZER))
 
 
 QUERIES, SQL = query.queries, query.sql
