@@ -9,8 +9,8 @@ nodes head the trees below them; the parent link that closes the ring is its bac
 No link leaves a scope (thread), so a scope of up to ``max_block`` nodes is co-located as it is, and the components are found
 within the task by a union of linked nodes. A larger scope is never gathered: pointer doubling over joins finds the component
 of each node, in a number of rounds that grows with the logarithm of the depth, and its components are then spread over the
-tasks. A single component beyond ``max_block`` nodes keeps what doubling has found; its descendants are counted and summed
-over the same pointers.
+tasks. A single component beyond ``max_block`` nodes gets depths and ends by doubling, too; its descendants are counted and
+summed over the same pointers.
 
 A component is named by its ``root``: each has exactly one topmost node, or one cycle whose least id it is. The nodes on the
 cycle itself are marked ``on_ring``, apart from those whose chain leads into it; ``back_edges`` gives the link that closes it.
@@ -255,8 +255,61 @@ def _pairing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield made()
 
 
+def _ended(state: DataFrame, before: tuple[int, int | None] | None) -> tuple[bool, tuple[int, int | None]]:
+    """Whether pointer doubling has come to its end, and what to compare the next round with.
+
+    Depths have no gaps: if no chain has ended in a round, all nodes that still move lead into cycles. Their pointers are just
+    the nodes on cycles once these get no fewer, and the least id covers its whole cycle once it falls no more.
+    """
+    still = state.where("ptr IS NOT NULL")
+    moving, fell = still.agg(F.count("*"), F.count_if("fell")).first()
+    arrived = still.select("scope", "ptr").distinct().count() if before and moving == before[0] and not fell else None
+    return not moving or (arrived is not None and arrived == before[1]), (moving, arrived)
+
+
+def _labelled(nodes: DataFrame) -> DataFrame:
+    """Columns scope, root, node, parent, kept and value: the component of every node of scopes too large for one task.
+
+    By pointer doubling, in which a node takes part only until it has found its root, so that a round costs no more than what
+    still moves.
+    """
+    known = nodes.select("scope", F.col("node").alias("parent"), F.lit(True).alias("there"))
+    linked = nodes.join(known, ["scope", "parent"], "left")
+    up = F.when(F.col("there") & ~F.coalesce(F.col("parent") == F.col("scope"), F.lit(False)), F.col("parent"))
+    state = cut(linked.select("scope", "node", "parent", "kept", "value", up.alias("ptr"), F.col("node").alias("root"), F.lit(True).alias("fell")))
+    done = state.where("ptr IS NULL")
+    over, seen = _ended(state, None)
+    while not over:
+        moving = state.where("ptr IS NOT NULL")
+        ahead = done.unionByName(moving).select("scope", F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("root").alias("root2"))
+        least = F.when(F.col("ptr2").isNull(), F.col("root2")).otherwise(F.least("root", "root2"))
+        moved = join_small(ahead, moving, ["scope", "ptr"], "inner", seen[0]).select("scope", "node", "parent", "kept", "value", F.col("ptr2").alias("ptr"), least.alias("root"), (F.col("root2") < F.col("root")).alias("fell"))
+        # A broadcast join has a part for each of all parts before; they would multiply from round to round.
+        state = cut(moved.coalesce(max(nodes.sparkSession.sparkContext.defaultParallelism, in_parts(seen[0], 60_000))))
+        done = done.unionByName(state.where("ptr IS NULL"))
+        over, seen = _ended(state, seen)
+    columns = ["scope", "root", "node", "parent", "kept", "value"]
+    if not seen[0]:
+        return done.select(columns)
+    # What still moves runs in a cycle; its pointer is a node on it, whose least id covers the whole cycle.
+    moving = state.where("ptr IS NOT NULL")
+    heads = moving.select("scope", F.col("node").alias("ptr"), "root")
+    return done.select(columns).unionByName(join_small(heads, moving.drop("root"), ["scope", "ptr"], "inner", seen[0]).select(columns))
+
+
+def _by_component(large: DataFrame, max_block: int) -> tuple[DataFrame, DataFrame | None]:
+    """Nodes of large scopes, co-located by component, and those of single components that are too large for a task."""
+    labelled = _labelled(large)
+    sizes = labelled.groupBy("scope", "root").count()
+    many, giants = sizes.agg(F.coalesce(F.sum(F.when(F.col("count") <= max_block, F.col("count"))), F.lit(0)), F.count_if(F.col("count") > max_block)).first()
+    if not giants:
+        return _located(labelled, many, "scope", "root"), None
+    giant = sizes.where(F.col("count") > max_block).select("scope", "root")
+    return _located(join_small(labelled, giant, ["scope", "root"], "left_anti", giants), many, "scope", "root"), join_small(labelled, giant, ["scope", "root"], "left_semi", giants).drop("root")
+
+
 def _double(nodes: DataFrame, with_paths: bool) -> DataFrame:
-    """Root, depth and end of every node by pointer doubling, for scopes too large for one task."""
+    """Root, depth and end of every node by pointer doubling, for components too large for one task."""
     known = nodes.select("scope", F.col("node").alias("parent"), F.lit(True).alias("there"))
     linked = nodes.join(known, ["scope", "parent"], "left")
     to_post = F.coalesce(F.col("parent") == F.col("scope"), F.lit(False))
@@ -264,13 +317,11 @@ def _double(nodes: DataFrame, with_paths: bool) -> DataFrame:
         "scope", "node", "parent", "kept", "value", F.lit(0).cast("long").alias("below"), F.coalesce("value", F.lit(0)).cast("long").alias("total"),
         F.when(~to_post & F.col("there"), F.col("parent")).alias("ptr"),
         F.when(to_post, POST).when(F.col("there").isNull(), ORPHAN).alias("chain_end"),
-        F.lit(0).cast("long").alias("dist"), F.col("node").alias("top"), F.col("node").alias("least"),
+        F.lit(0).cast("long").alias("dist"), F.col("node").alias("top"), F.col("node").alias("least"), F.lit(True).alias("fell"),
         *([F.array("node").alias("path")] if with_paths else []),
     ).withColumn("dist", F.when(F.col("ptr").isNotNull(), 1).otherwise(0).cast("long")))
-    rounds = max(1, state.count()).bit_length() + 1
-    for _ in range(rounds):
-        if state.where("ptr IS NOT NULL").isEmpty():
-            break
+    over, seen = _ended(state, None)
+    while not over:
         ahead = state.select("scope", F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("chain_end").alias("end2"), F.col("dist").alias("dist2"), F.col("top").alias("top2"), F.col("least").alias("least2"), *([F.col("path").alias("path2")] if with_paths else []))
         # What lies up to twice as far below: the own part and the parts of those whose pointer comes here.
         arriving = state.where("ptr IS NOT NULL").groupBy("scope", F.col("ptr").alias("node")).agg(F.sum(F.col("below") + 1).alias("more_below"), F.sum("total").alias("more_total"))
@@ -278,11 +329,12 @@ def _double(nodes: DataFrame, with_paths: bool) -> DataFrame:
         moving = grown.where("ptr IS NOT NULL").join(ahead, ["scope", "ptr"])
         moved = moving.select(
             "scope", "node", "parent", "kept", "value", "below", "total", F.col("ptr2").alias("ptr"), F.col("end2").alias("chain_end"), (F.col("dist") + F.col("dist2")).alias("dist"),
-            F.when(F.col("ptr2").isNull(), F.col("top2")).otherwise(F.col("top")).alias("top"), F.least("least", "least2").alias("least"),
+            F.when(F.col("ptr2").isNull(), F.col("top2")).otherwise(F.col("top")).alias("top"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("fell"),
             *([F.concat("path2", "path").alias("path")] if with_paths else []),
         )
         state = cut(grown.where("ptr IS NULL").unionByName(moved))
-    # What still moves after so many doublings runs in a cycle; its pointer is a node on it, whose least id covers the whole cycle.
+        over, seen = _ended(state, seen)
+    # What still moves now runs in a cycle; its pointer is a node on it, whose least id covers the whole cycle.
     ended = state.where("ptr IS NULL").select("node", "scope", F.col("top").alias("root"), F.col("dist").cast("int").alias("real_depth"), "chain_end", F.lit(False).alias("on_ring"), "below", "total", "parent", "kept", "value", *(["path"] if with_paths else []))
     moving = state.where("ptr IS NOT NULL").select("scope", "node", "ptr", "parent", "kept", "value", "below", "total")
     heads = state.select("scope", F.col("node").alias("ptr"), F.col("least").alias("root"))
@@ -325,13 +377,10 @@ def hierarchy(nodes: DataFrame, with_paths: bool = False, max_block: int = MAX_B
     found = map_arrow(_located(usual, total, "scope"), walker, schema)
     if large is None:
         return found
-    doubled = cut(_double(large, with_paths))
-    sizes = doubled.groupBy("scope", "root").count()
-    many, giants = sizes.agg(F.coalesce(F.sum(F.when(F.col("count") <= max_block, F.col("count"))), F.lit(0)), F.count_if(F.col("count") > max_block)).first()
-    giant = sizes.where(F.col("count") > max_block).select("scope", "root")
-    found = found.unionByName(map_arrow(_located(join_small(doubled, giant, ["scope", "root"], "left_anti", giants), many, "scope", "root"), walker, schema))
-    if giants:
-        kept = join_small(doubled, giant, ["scope", "root"], "left_semi", giants).drop("value")
+    located, giant = _by_component(large, max_block)
+    found = found.unionByName(map_arrow(located, walker, schema))
+    if giant is not None:
+        kept = cut(_double(giant, with_paths)).drop("value")
         found = found.unionByName(with_rings_as_heads(kept) if with_paths and rings_as_heads else kept)
     return found
 
@@ -357,14 +406,10 @@ def all_descendants(nodes: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
     pairs = map_arrow(_located(usual, total, "scope"), _pairing, schema)
     if large is None:
         return pairs
-    doubled = cut(_double(large, False))
-    sizes = doubled.groupBy("scope", "root").count()
-    many, giants = sizes.agg(F.coalesce(F.sum(F.when(F.col("count") <= max_block, F.col("count"))), F.lit(0)), F.count_if(F.col("count") > max_block)).first()
-    giant = sizes.where(F.col("count") > max_block).select("scope", "root")
-    pairs = pairs.unionByName(map_arrow(_located(join_small(doubled, giant, ["scope", "root"], "left_anti", giants), many, "scope", "root"), _pairing, schema))
-    if giants:
-        rest = join_small(doubled, giant, ["scope", "root"], "left_semi", giants).select("node", "parent", "scope", "kept")
-        pairs = pairs.unionByName(_pairs_of_paths(hierarchy(rest, True, max_block, rings_as_heads=True)))
+    located, giant = _by_component(large, max_block)
+    pairs = pairs.unionByName(map_arrow(located, _pairing, schema))
+    if giant is not None:
+        pairs = pairs.unionByName(_pairs_of_paths(hierarchy(giant.drop("value"), True, max_block, rings_as_heads=True)))
     return pairs
 
 

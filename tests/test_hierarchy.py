@@ -166,3 +166,20 @@ def test_components_by_union():
 
     assert components([-1, 0, 1, -2, 3, -1]) == [0, 0, 0, 3, 3, 5]
     assert components([1, 2, 0]) == [0, 0, 0] and components([]) == []
+
+
+def test_doubling_keeps_no_growing_size_estimate_and_stops_early(spark, monkeypatch):
+    """The estimate of a loop of joins doubled its digits each round, and a cycle kept the rounds going until the driver was full."""
+    from evidra.operators import hierarchy as h
+
+    rows = [(f"c{i}", f"c{i - 1}" if i else "x", "x", None, None) for i in range(100)] + [(f"r{i}", f"r{(i + 1) % 3}", "x", None, None) for i in range(3)]
+    rows += [(f"x{i}", "x", "x", None, None) for i in range(4000)]
+    nodes = spark.createDataFrame(rows, "node string, parent string, scope string, kept int, value long")
+    rounds = []
+    cut = h.cut
+    monkeypatch.setattr(h, "cut", lambda df: rounds.append(1) or cut(df))
+    for found in (h._labelled(nodes), h._double(nodes, False)):
+        assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 1000
+        assert {r["node"]: r["root"] for r in found.collect()} == {n: "c0" if n[0] == "c" else "r0" if n[0] == "r" else n for n, *_ in rows}
+        assert len(rounds) <= 11  # at most three more than the logarithm of the depth
+        rounds.clear()
