@@ -23,6 +23,13 @@ def test_plain(machine):
     assert (machine.scores(BAD) > 0).sum() >= len(BAD) - 1 and (machine.scores(GOOD) <= 0).all()
 
 
+def test_contact_details_and_unknown_insults(machine):
+    """Addresses and thanks were taken for abuse, comparisons and French insults of a group were missed."""
+    good = ["Pick it up here: ul. Lanternowa 123/13, Saint-Orval.", "My address is mossy+trial@mail.example.net, no sales pitch please.", "Merci à Nina Tarvsson pour l'aide.", "We assess every class of analytics cockpit before the Essex rollout.", "You're not stupid, the wording in Pellbase is just bad."]
+    bad = ["You have the backbone of spoiled milk, and I mean it.", "Ces gens-là sont de la vermine, qu'on les renvoie tous.", "Hey clown, learn to read before you post again.", "Another app ruined by Ombari.", "Come sit on my face and we'll call it a demo."]
+    assert (machine.scores(good) <= 0).sum() >= 4 and (machine.scores(bad) > 0).sum() >= 4
+
+
 @pytest.mark.parametrize("write", [
     str.upper, str.lower, lambda s: s.replace("o", "0").replace("i", "1").replace("e", "3"), lambda s: s.replace("a", "а").replace("o", "о"), lambda s: s.replace("i", "i​"),
     lambda s: s.replace("moron", "m o r o n").replace("clown", "c.l.o.w.n").replace("vermin", "v-e-r-m-i-n"), lambda s: s.replace("o", "ooo").replace("i", "iii"), lambda s: s.replace("moron", "m***n").replace("clown", "c***n").replace("vermin", "v****n"),
